@@ -6,6 +6,8 @@ import importlib
 
 #: query -> module; the function has the query's name.
 MODULES = {
+    "op4_token_counts": "token_counts",
+    "op6_lm_scoring": "ctw",
     "op7_exact_dedup": "exact_dedup",
     "op8_sharding": "sharding",
     "op10_secret_scans": "secrets",
