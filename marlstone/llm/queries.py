@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module; the function has the query's name.
 MODULES = {
+    "op9_minhash_dedup": "minhash",
     "op4_token_counts": "token_counts",
     "op6_lm_scoring": "ctw",
     "op7_exact_dedup": "exact_dedup",
