@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module; the function has the query's name.
 MODULES = {
+    "op1_sentencepiece": "pieces",
     "op3_decontamination": "decontam",
     "op9_minhash_dedup": "minhash",
     "op4_token_counts": "token_counts",
