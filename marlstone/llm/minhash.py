@@ -5,15 +5,20 @@
 2. A class keeps 128 minima only as 4 bits each (8 longs), and a 64-bit key for
    each band of 4 minima.
 3. Classes that share a band key are candidates. In each bucket every class is
-   paired with one centre only. A pair's similarity is estimated from the bits
-   that agree, corrected for the 1 in 16 that agree by chance; pairs that are
-   more than five standard errors below the threshold go.
-4. The rest are confirmed on their full shingle sets. Components of the
-   confirmed links are found.
-5. Buckets whose classes are still in different components are looked at again:
-   every pair across components that passes the estimate is confirmed too, so
-   the centres lose no link. Only classes outside the bucket's largest known
-   component are paired, and the estimate is part of the join.
+   paired with one centre only, the class whose buckets are the largest. A
+   pair's similarity is estimated from the bits that agree, corrected for the 1
+   in 16 that agree by chance.
+4. Pairs with an estimate of at least NEAR are compared on their full shingle
+   sets; the links found give first components. A class that is near its centre
+   is then known by its difference from it.
+5. Links that the centres miss join classes of one bucket in different
+   components. Between classes near one centre they are found from the
+   differences: if x is not linked to the centre, a link of x and y means that
+   the differences share so many elements that certain prefixes of them (what
+   the centre lacks first) have one in common, so only such pairs are compared.
+   With a class that is not near, the estimate decides, as part of the join,
+   whether a pair is compared on full sets (five standard errors of room).
+   This loses no link, and no group's pairs are all made.
 
 A pair with similarity 0.85 shares no band of 20 with probability 4e-7 (0.8 and
 28 bands: the same). Counts of candidates or partners have no cap.
@@ -45,6 +50,8 @@ HASHES = 128
 BITS = 4
 ROWS = 4
 SIGMAS = 5
+#: Estimated similarity to a bucket's centre from which a class is compared with it.
+NEAR = 0.4
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -200,8 +207,8 @@ def _plausible(threshold: int, a: str, b: str, na: str, nb: str) -> Column:
     return sizes & (_estimate(a, b) >= t - SIGMAS * error)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. Each is small or a join away from its text."""
+def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the classes in pairs (a, b), from one text of each."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(classes.join(nodes, "node").select("node", "rep.doc_id", "rep.text_hash"))
     text = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
@@ -214,20 +221,29 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, th
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in shingle_sets(part, k)], pa.binary())], ["node", "shingles"])
                 at += len(part)
 
-    # Rows that agree in doc_id and text give a class's set more than once; the links are made distinct later.
-    shingles = stored(found.mapInArrow(sets, "node binary, shingles binary"))
-    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    # Rows that agree in doc_id and text give a class's set more than once; what is made of it is made distinct later.
+    return stored(found.mapInArrow(sets, "node binary, shingles binary"))
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """pairs (a, b) with nb (the size of b's set), na, linked, gained and lost: b's elements that a lacks and the reverse."""
+    shingles = _sets(pairs, classes, docs, k)
+    both = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            rows = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                gained, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                common = len(x) - len(lost)
+                linked = 100 * common >= threshold * (len(x) + len(y) - common)
+                rows.append((len(x), len(y), linked, gained.view(np.int64), lost.view(np.int64)))
+            na, nb, linked, gained, lost = zip(*rows) if rows else ((), (), (), (), ())
+            more = [pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(gained, pa.list_(pa.int64())), pa.array(lost, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["a", "b", "na", "nb", "linked", "gained", "lost"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a binary, b binary")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, na long, nb long, linked boolean, gained array<long>, lost array<long>")
 
 
 def near_dups(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) -> DataFrame:
@@ -239,15 +255,19 @@ def near_dups(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28)
     rep = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     classes = stored(rows.where("node is not null").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     member = classes.select("node", F.explode("keys").alias("key"))
-    # A key's centre is its least class hash, often the same one in a group's many buckets.
-    centres = stored(member.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre"))
-    shared = stored(member.join(centres, "key"))
+    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(member.join(sizes, "key"))
+    # A class that was not changed meets more others than those made from it do, so it becomes their centre.
+    weight = stored(shared.groupBy("node").agg(F.sum("size").alias("weight")))
+    centres = stored(shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre")))
     signed = classes.select("node", "n", "sig")
-    side = lambda x: signed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    stars = stored(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    likely = stored(stars.join(side("b"), "b").join(side("a"), "a").where(_plausible(threshold, "sa", "sb", "na", "nb")).select("a", "b"))
-    labels = components(_confirmed(likely, classes, docs, k, threshold))
-    labels = _across(shared, signed, likely, labels, classes, docs, k, threshold)
+    side = lambda x: signed.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
+    stars = stored(shared.join(centres, "key").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    near = stored(stars.join(side("b"), "b").join(side("a"), "a").where(_estimate("sa", "sb") >= NEAR).select("a", "b"))
+    compared = stored(_compared(near, classes, docs, k, threshold).dropDuplicates(["a", "b"]))
+    labels = components(compared.where("linked").select("a", "b"))
+    missed = _by_difference(compared, labels, threshold).unionByName(_with_far(shared.join(centres, "key"), near, signed, labels, classes, docs, k, threshold))
+    labels = _merged(labels, stored(missed))
 
     full, empty = rows.where("node is not null").select("doc_id", "text_hash", "node", "n"), rows.where("node is null")
     placed = stored(full.join(labels, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label")))
@@ -257,32 +277,69 @@ def near_dups(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28)
     return done.unionByName(alone)
 
 
-def _across(shared: DataFrame, signed: DataFrame, tested: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """labels after all links between components within buckets have been added."""
-    named = stored(shared.join(labels, "node", "left").select("key", "node", "centre", F.coalesce("label", "node").alias("label")))
-    # Buckets of two have had their only pair tested.
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("size > 2 and l1 != l2").select("key")
-    sizes = named.join(mixed, "key", "left_semi").groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    major = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("major")))
-    if major.isEmpty():
-        return labels
-    within = stored(named.join(major, "key").join(signed, "node").select("key", "node", "label", "major", "n", "sig"))
-    # Pairs are sought only for classes outside their bucket's largest component.
-    a = within.where("label != major").select("key", *(F.col(c).alias(f"{c}a") for c in ("node", "label", "n", "sig")))
-    b = within.select("key", "major", *(F.col(c).alias(f"{c}b") for c in ("node", "label", "n", "sig")))
-    once = (F.col("labelb") == F.col("major")) | (F.col("nodea") < F.col("nodeb"))
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the label of a class, itself if it has none."""
+    return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias("l__")), node, "left").withColumn(name, F.coalesce("l__", node)).drop("l__")
+
+
+def _by_difference(compared: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between classes near one centre that are in different components.
+
+    Sets x, y are linked if they differ in at most H = r (|x| + |y|) elements,
+    r = (100 - threshold) / (100 + threshold). Let X, Y be their differences
+    from the centre c. x and y differ where X and Y do, so a link means
+    2 |X & Y| >= |X| + |Y| - H. If x is not linked to c, |X| > r (|x| + |c|), so
+    |X & Y| > (|Y| + r (|c| - |y|)) / 2: with all differences in one order, Y's
+    first |Y| - floor(that) elements and X's first H + 1 have one in common.
+    What the centre lacks goes first in this order: it is rarely shared.
+    """
+    t, r = threshold / 100, (100 - threshold) / (100 + threshold)
+    # Only centres with a class that they do not link need this.
+    open_ = stored(compared.where("not linked").groupBy("a").agg(F.count(F.lit(1)).alias("open")).select("a"))
+    order = F.concat(F.array_sort("gained"), F.array_sort("lost"))
+    rows = _labelled(compared.join(open_, "a"), labels, "b", "label").withColumn("diff", order).select("a", "b", "na", "nb", "linked", "label", "diff")
+    rows = stored(rows)
+    d = F.size("diff")
+    first_y = F.least(d, F.greatest(d - F.floor((d + r * (F.col("na") - F.col("nb"))) / 2 - 1e-9), F.lit(0))).cast("int")
+    first_x = F.least(d, F.floor(r * F.col("nb") * (1 + 1 / t) + 1e-9) + 1).cast("int")
+    x = rows.where("not linked").select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.explode(F.slice("diff", F.lit(1), first_x)).alias("e"))
+    y = rows.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.explode(F.slice("diff", F.lit(1), first_y)).alias("e"))
+    met = stored(x.join(y, ["a", "e"]).where("lx != ly").select("a", "x", "y").distinct())
+    given = lambda v: rows.select("a", F.col("b").alias(v), F.col("nb").alias(f"n{v}"), F.col("diff").alias(f"d{v}"))
+    both = met.join(given("y"), ["a", "y"]).join(given("x"), ["a", "x"])
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    total = F.col("nx") + F.col("ny")
+    common = (total - apart) / 2
+    return both.where(100 * common >= threshold * (total - common)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _with_far(shared: DataFrame, near: DataFrame, signed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) across components within buckets of which at least one class is not near the bucket's centre."""
+    placed = shared.where("size > 2").join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("is_near")), ["centre", "node"], "left")
+    rows = placed.select("key", "node", "centre", ((F.col("node") != F.col("centre")) & F.col("is_near").isNull()).alias("far"))
+    open_ = stored(rows.groupBy("key").agg(F.bool_or("far").alias("open")).where("open").select("key"))
+    within = stored(_labelled(stored(rows.join(open_, "key")), labels, "node", "label").join(signed, "node"))
+    a = within.where("far").select("key", *(F.col(c).alias(f"{c}a") for c in ("node", "label", "n", "sig")))
+    # The centre itself has been looked at.
+    b = within.where("node != centre").select("key", "far", *(F.col(c).alias(f"{c}b") for c in ("node", "label", "n", "sig")))
+    once = ~F.col("far") | (F.col("nodea") < F.col("nodeb"))
     pairs = a.join(b.withColumnRenamed("key", "keyb"), (F.col("key") == F.col("keyb")) & (F.col("labela") != F.col("labelb")) & once & _plausible(threshold, "siga", "sigb", "na", "nb"))
-    pairs = pairs.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
-    new = stored(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    new = stored(pairs.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct())
     if new.isEmpty():
+        return new
+    return _compared(new, classes, docs, k, threshold).where("linked").select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links (a, b) between classes, labelled or not."""
+    if links.isEmpty():
         return labels
-    links = stored(_confirmed(new, classes, docs, k, threshold))
-    for x in ("a", "b"):
-        links = stored(links.join(labels.select(F.col("node").alias(x), F.col("label").alias("l")), x, "left").withColumn(x, F.coalesce("l", x)).drop("l"))
-    joined = components(links)
-    nodes = labels.unionByName(joined.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return stored(stored(nodes).join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    ends = stored(_labelled(stored(_labelled(links, labels, "a", "la")), labels, "b", "lb"))
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    # A class that had no link so far is its own label.
+    new = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct().join(labels.select("node"), "node", "left_anti")
+    all_ = stored(labels.unionByName(new.select("node", F.col("node").alias("label"))))
+    return stored(all_.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def dedup(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) -> DataFrame:
