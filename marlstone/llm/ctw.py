@@ -95,9 +95,9 @@ def window_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _chunks(batch.column(0).to_pylist()):
                 held.append(np.unique(windows(part)[0], return_counts=True))
-                if sum(len(c) for c, _ in held) > 4_000_000:
+                if sum(len(c) for c, _ in held) > 1_500_000:
                     held[:] = [merged()]
-                    if len(held[0][0]) > 2_000_000:
+                    if len(held[0][0]) > 1_000_000:
                         yield _pairs(*held.pop())
         if held:
             yield _pairs(*merged())
