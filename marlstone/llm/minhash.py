@@ -315,13 +315,12 @@ def _by_difference(compared: DataFrame, labels: DataFrame, threshold: int) -> Da
 
 def _with_far(shared: DataFrame, near: DataFrame, signed: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links (a, b) across components within buckets of which at least one class is not near the bucket's centre."""
-    placed = shared.where("size > 2").join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("is_near")), ["centre", "node"], "left")
+    placed = shared.join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("is_near")), ["centre", "node"], "left")
     rows = placed.select("key", "node", "centre", ((F.col("node") != F.col("centre")) & F.col("is_near").isNull()).alias("far"))
     open_ = stored(rows.groupBy("key").agg(F.bool_or("far").alias("open")).where("open").select("key"))
     within = stored(_labelled(stored(rows.join(open_, "key")), labels, "node", "label").join(signed, "node"))
     a = within.where("far").select("key", *(F.col(c).alias(f"{c}a") for c in ("node", "label", "n", "sig")))
-    # The centre itself has been looked at.
-    b = within.where("node != centre").select("key", "far", *(F.col(c).alias(f"{c}b") for c in ("node", "label", "n", "sig")))
+    b = within.select("key", "far", *(F.col(c).alias(f"{c}b") for c in ("node", "label", "n", "sig")))
     once = ~F.col("far") | (F.col("nodea") < F.col("nodeb"))
     pairs = a.join(b.withColumnRenamed("key", "keyb"), (F.col("key") == F.col("keyb")) & (F.col("labela") != F.col("labelb")) & once & _plausible(threshold, "siga", "sigb", "na", "nb"))
     new = stored(pairs.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct())
