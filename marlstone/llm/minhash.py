@@ -14,8 +14,8 @@
 5. Links that the centres miss join classes of one bucket in different
    components. Between classes near one centre they are found from the
    differences: if x is not linked to the centre, a link of x and y means that
-   the differences share so many elements that certain prefixes of them (what
-   the centre lacks first) have one in common, so only such pairs are compared.
+   they share an element that the centre lacks, or many of those that they lack
+   themselves, so only pairs that meet in this way are compared.
    With a class that is not near, the estimate decides, as part of the join,
    whether a pair is compared on full sets (five standard errors of room).
    This loses no link, and no group's pairs are all made.
@@ -286,26 +286,39 @@ def _by_difference(compared: DataFrame, labels: DataFrame, threshold: int) -> Da
     """Links (a, b) between classes near one centre that are in different components.
 
     Sets x, y are linked if they differ in at most H = r (|x| + |y|) elements,
-    r = (100 - threshold) / (100 + threshold). Let X, Y be their differences
-    from the centre c. x and y differ where X and Y do, so a link means
-    2 |X & Y| >= |X| + |Y| - H. If x is not linked to c, |X| > r (|x| + |c|), so
-    |X & Y| > (|Y| + r (|c| - |y|)) / 2: with all differences in one order, Y's
-    first |Y| - floor(that) elements and X's first H + 1 have one in common.
-    What the centre lacks goes first in this order: it is rarely shared.
+    r = (100 - threshold) / (100 + threshold). Against the centre c, x has
+    gained gx elements and lost lx; x and y differ where these differ, so they
+    share at least o = (gx + lx + gy + ly - H) / 2 of them if linked. x is one
+    that c does not link: gx + lx > r (|x| + |c|). Two cases:
+    - They share a gained element. These are rarely shared; pairs meet on them
+      if the sizes allow it, |gx - gy| + |lx - ly| <= H.
+    - They share lost elements only. Then gx + gy + |lx - ly| <= H, and
+      o >= lx + gx - H and o > (gy + ly + r (|c| - |y|)) / 2 =: v, so the first
+      H - gx + 1 of x's and the first ly - floor(v) of y's lost elements, in one
+      order, have one in common. Where words were replaced there is no such pair.
     """
     t, r = threshold / 100, (100 - threshold) / (100 + threshold)
     # Only centres with a class that they do not link need this.
     open_ = stored(compared.where("not linked").groupBy("a").agg(F.count(F.lit(1)).alias("open")).select("a"))
-    order = F.concat(F.array_sort("gained"), F.array_sort("lost"))
-    rows = _labelled(compared.join(open_, "a"), labels, "b", "label").withColumn("diff", order).select("a", "b", "na", "nb", "linked", "label", "diff")
-    rows = stored(rows)
-    d = F.size("diff")
-    first_y = F.least(d, F.greatest(d - F.floor((d + r * (F.col("na") - F.col("nb"))) / 2 - 1e-9), F.lit(0))).cast("int")
-    first_x = F.least(d, F.floor(r * F.col("nb") * (1 + 1 / t) + 1e-9) + 1).cast("int")
-    x = rows.where("not linked").select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.explode(F.slice("diff", F.lit(1), first_x)).alias("e"))
-    y = rows.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.explode(F.slice("diff", F.lit(1), first_y)).alias("e"))
-    met = stored(x.join(y, ["a", "e"]).where("lx != ly").select("a", "x", "y").distinct())
-    given = lambda v: rows.select("a", F.col("b").alias(v), F.col("nb").alias(f"n{v}"), F.col("diff").alias(f"d{v}"))
+    sorted_ = compared.join(open_, "a").withColumn("gained", F.array_sort("gained")).withColumn("lost", F.array_sort("lost"))
+    rows = stored(_labelled(sorted_, labels, "b", "label").withColumns({"g": F.size("gained"), "l": F.size("lost")}))
+    most = F.floor(r * F.col("nb") * (1 + 1 / t) + 1e-9)
+    v = F.floor((F.col("g") + F.col("l") + r * (F.col("na") - F.col("nb"))) / 2 - 1e-9)
+    first_x = F.greatest(F.least(F.col("l"), most - F.col("g") + 1), F.lit(0)).cast("int")
+    first_y = F.greatest(F.least(F.col("l"), F.col("l") - v), F.lit(0)).cast("int")
+
+    def side(df: DataFrame, name: str, elements: Column) -> DataFrame:
+        """The elements of each row, with what the join looks at."""
+        return df.select("a", F.explode(elements).alias("e"), F.col("b").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "nb", "g", "l")))
+
+    room = r * (F.col("nb_x") + F.col("nb_y")) + 1e-9
+    other = F.col("label_x") != F.col("label_y")
+    lost_apart = F.abs(F.col("l_x") - F.col("l_y"))
+    loose = rows.where("not linked")
+    by_gained = side(loose, "x", F.col("gained")).join(side(rows, "y", F.col("gained")).withColumnsRenamed({"a": "a2", "e": "e2"}), (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & other & (F.abs(F.col("g_x") - F.col("g_y")) + lost_apart <= room))
+    by_lost = side(loose, "x", F.slice("lost", F.lit(1), first_x)).join(side(rows, "y", F.slice("lost", F.lit(1), first_y)).withColumnsRenamed({"a": "a2", "e": "e2"}), (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & other & (F.col("g_x") + F.col("g_y") + lost_apart <= room))
+    met = stored(by_gained.select("a", "x", "y").unionByName(by_lost.select("a", "x", "y")).distinct())
+    given = lambda v: rows.select("a", F.col("b").alias(v), F.col("nb").alias(f"n{v}"), F.concat("gained", "lost").alias(f"d{v}"))
     both = met.join(given("y"), ["a", "y"]).join(given("x"), ["a", "x"])
     apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
     total = F.col("nx") + F.col("ny")
