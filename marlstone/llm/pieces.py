@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +42,10 @@ from .hashtable import find, hashed
 
 ALPHA = 2.0
 MARK = "▁"
-#: Characters of text that are worked on at once.
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once.
+CHUNK = 1 << 18
 #: Distinct words whose filtering a worker keeps; longer words than LONG are never kept.
-KEEP = 400_000
+KEEP = 150_000
 LONG = 64
 #: Words up to this length are filtered many at a time; their weights' products stay in a double's range.
 SHORT = 24
@@ -168,8 +169,8 @@ class Lattice:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for n, same in by_length.items():
-            for i in range(0, len(same), 20_000):
-                self._add_same(same[i : i + 20_000], n)
+            for i in range(0, len(same), 4_000):
+                self._add_same(same[i : i + 4_000], n)
 
     def _add_same(self, words: list[str], n: int) -> None:
         for i, w in enumerate(words, len(self.size)):
@@ -318,37 +319,44 @@ def decode_lists(ids: pa.ListArray, model: Lattice) -> pa.Array:
     return pa.array([None if no else data[a + 1 : b].decode() if b > a else "" for a, b, no in zip(bounds[:-1], bounds[1:], null)], pa.string())
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most CHUNK bytes or one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > CHUNK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > CHUNK:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, seed: int = 42) -> DataFrame:
-    """docs with ``ids``, array<int>: a sampled segmentation of the text. key: seeds the row's draws."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, seed: int = 42, check: bool = False) -> DataFrame:
+    """docs with ``ids``, array<int>: a sampled segmentation of the text. key: seeds the row's draws.
+
+    check: adds ``lossless``, whether decoding the ids gives the text back.
+    """
     path = path or model_path()
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *(["lossless"] if check else []))
     # Columns go by position: names may clash.
     rows = docs.select("*", F.xxhash64(key).alias("key__"))
     at_text, at_key = docs.columns.index(text), len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("lossless", T.BooleanType())] if check else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for batch in batches:
-            texts = batch.column(at_text).to_pylist()
             keys = batch.column(at_key).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for a, b in _chunks(texts):
-                ids = sample([t or "" for t in texts[a:b]], keys[a:b], model, seed)
+            column = batch.column(at_text)
+            for a, b in _chunks(column):
+                texts = column.slice(a, b - a).to_pylist()
+                ids = sample([t or "" for t in texts], keys[a:b], model, seed)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([t is None for t in texts[a:b]] + [False])), pa.array(values))
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [lists], schema.names)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([t is None for t in texts] + [False])), pa.array(values))
+                same = [pa.array([x == y for x, y in zip(texts, decode_lists(lists, model).to_pylist())], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [lists, *same], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -370,8 +378,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, ids, n_pieces (null for a null text) and lossless: decoding the ids gave the text back."""
-    out = decode(encode(docs.select("doc_id", "text")))
-    return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    out = encode(docs.select("doc_id", "text"), check=True)
+    return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), "lossless")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
