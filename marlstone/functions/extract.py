@@ -91,16 +91,21 @@ def relation_hints(text: Column, around: int = 20) -> Column:
     for kind, p in RELATIONS.items():
         whole, a, b = (F.regexp_extract_all(t, F.lit(p), F.lit(i)) for i in range(3))
 
-        def hint(x: Column, kind: str = kind) -> Column:
+        def hint(x: Column) -> Column:
             at = F.instr(t, x["w"])
             low = F.greatest(at - around, F.lit(1))
             evidence = F.substring(t, low, at - low + F.length(x["w"]) + around)
-            return F.struct(x["a"].alias("entity1"), x["b"].alias("entity2"), F.lit(kind).alias("type"), evidence.alias("evidence"))
+            return F.struct(x["a"].alias("entity1"), x["b"].alias("entity2"), evidence.alias("evidence"))
 
-        parts.append(F.transform(F.arrays_zip(whole.alias("w"), a.alias("a"), b.alias("b")), hint))
+        hints = F.transform(F.arrays_zip(whole.alias("w"), a.alias("a"), b.alias("b")), hint)
+        parts.append(F.transform(hints, _typed(kind)))
     return F.flatten(F.array(*parts))
 
 
+def _typed(kind: str):
+    return lambda h: F.struct(h["entity1"].alias("entity1"), h["entity2"].alias("entity2"), F.lit(kind).alias("type"), h["evidence"].alias("evidence"))
+
+
 def aggregate_names(mentions_: DataFrame) -> DataFrame:
     """(name, label, count, sources, chunk_ids) of (name, label, source, chunk_id, ord); the label seen first wins."""
     return mentions_.groupBy("name").agg(

@@ -66,11 +66,20 @@ def is_corrupted(text: Column) -> Column:
     return (F.length(s) < 50) | (good / F.length(s) < 0.3) | (kinds < 3)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def runs(text: Column, k: int) -> Column:
+    """All runs of k characters, in order; the text itself if it is shorter."""
+    each = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.array_join(F.slice(c, i, k), ""))
+    return once(text, lambda t: F.when(F.length(t) < k, F.array(t)).otherwise(once(F.split(t, ""), each)))
+
+
 def char_shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k characters of the lower-cased text with single spaces; a shorter text is one."""
-    t = stripped(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    many = F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k)))
-    return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(many))
+    return F.array_distinct(runs(stripped(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), k))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -80,7 +89,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def trigram_overlap(a: Column, b: Column) -> Column:
     """Shared character trigrams of lower-cased texts, by the larger set."""
-    x, y = (F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(F.lower(t), i, F.lit(3)))) for t in (a, b))
+    x, y = (F.array_distinct(runs(F.lower(t), 3)) for t in (a, b))
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
 
 

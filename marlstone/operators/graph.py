@@ -215,7 +215,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_edges: int = 2_000_00
         first = {c: names[label == c][0] for c in np.unique(label)}
         return pd.DataFrame({"id": names, "community": [first[c] for c in label]})
 
-    return edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).groupBy(F.lit(0)).applyInPandas(run, "id string, community string")
+    return edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id string, community string")
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1 +1,248 @@
-"""Registered queries."""
+"""Queries over the co-occurrence graph, its paths and evidence, and composite scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.operators import entities as e
+from marlstone.operators import evidence as v
+from marlstone.operators import graph as g
+from marlstone.operators import scoring as sc
+
+from .registry import BRANDS, MENTIONS, docs, mentions, query, table
+
+#: The full graph of brands is complete; its heaviest edges leave paths of several hops.
+HEAVIEST = 26
+START = "Brand#12"
+
+_NODES = """nd AS (SELECT name AS id, count(*) AS count, count(DISTINCT chunk_id) AS num_chunks FROM mentions WHERE length(name) >= 2 GROUP BY name HAVING count(*) >= 2)"""
+_EDGES = f"""{_NODES}, dm AS (SELECT DISTINCT name AS id, chunk_id FROM mentions WHERE name IN (SELECT id FROM nd)),
+ed AS (SELECT a.id AS src, b.id AS dst, count(*) AS weight FROM dm a JOIN dm b ON a.chunk_id = b.chunk_id AND a.id < b.id GROUP BY 1, 2)"""
+_HEAVY = f"""{_EDGES}, hv AS (SELECT * FROM ed ORDER BY weight DESC, src, dst LIMIT {HEAVIEST}),
+sy AS (SELECT src, dst, weight FROM hv UNION ALL SELECT dst, src, weight FROM hv)"""
+_SCORE = "list_product(list_transform(w, lambda x: greatest(x / list_max(w)::DOUBLE, 0.01))) * pow(0.7, len(w) - 1)"
+
+
+def _graph(spark, sf_dir):
+    m = mentions(spark, sf_dir, types=False)
+    nodes = g.build_nodes(m)
+    return m, nodes, g.build_edges(m, nodes)
+
+
+def _heavy(edges):
+    return edges.orderBy(F.desc("weight"), "src", "dst").limit(HEAVIEST)
+
+
+@query(f"WITH {MENTIONS}, {_NODES}, l AS (SELECT name, type, count(*) AS n FROM mentions GROUP BY ALL), b AS (SELECT name, type FROM l QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, type) = 1) SELECT id, b.type AS label, count, num_chunks FROM nd JOIN b ON b.name = id")
+def graph_nodes(spark, sf_dir):
+    return g.build_nodes(mentions(spark, sf_dir))
+
+
+@query(f"WITH {BRANDS}, {_EDGES} SELECT src, dst, weight, 'mentioned_with' AS type FROM ed")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[2]
+
+
+@query(f"WITH {BRANDS}, {_HEAVY} SELECT src AS id, count(*) AS degree FROM sy GROUP BY src")
+def graph_degree(spark, sf_dir):
+    return g.degree(_heavy(_graph(spark, sf_dir)[2]))
+
+
+_BFS = f"""WITH {BRANDS}, {_HEAVY}, st AS (SELECT id AS start FROM nd WHERE id IN (SELECT src FROM sy)),
+e1 AS (SELECT start, dst AS node, [start, dst] AS p, [weight] AS w FROM st JOIN sy ON sy.src = start),
+f1 AS (SELECT start, node, p, w FROM e1 WHERE node <> start QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY p) = 1),
+e2 AS (SELECT start, dst AS node, list_append(p, dst) AS p, list_append(w, weight) AS w FROM f1 JOIN sy ON sy.src = f1.node),
+f2 AS (SELECT start, node, p, w FROM e2 WHERE node <> start AND (start, node) NOT IN (SELECT (start, node) FROM f1) QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY p) = 1),
+e3 AS (SELECT start, dst AS node, list_append(p, dst) AS p, list_append(w, weight) AS w FROM f2 JOIN sy ON sy.src = f2.node),
+em AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3)"""
+
+
+@query(_BFS + f" SELECT start, array_to_string(p, '>') AS path, len(w)::INT AS hops, round({_SCORE}, 9) AS score FROM em")
+def bfs_multi_hop(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    paths = g.multi_hop(_heavy(edges), nodes.select("id"))
+    return paths.select("start", F.array_join("path", ">").alias("path"), "hops", F.round("score", 9).alias("score"))
+
+
+@query(_BFS + f" SELECT start, array_to_string(p, '>') AS path FROM em WHERE node = (SELECT max(dst) FROM hv)")
+def bfs_to_target(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    heavy = g.cut(_heavy(edges))
+    target = heavy.select(F.max("dst").alias("id"))
+    return g.multi_hop(heavy, nodes.select("id"), targets=target).select("start", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM hv),
+r AS (SELECT dst AS node, [src, dst] AS p, [weight] AS w FROM sy WHERE src = (SELECT a FROM ends)
+  UNION ALL SELECT sy.dst, list_append(p, sy.dst), list_append(w, sy.weight) FROM r JOIN sy ON sy.src = r.node
+  WHERE len(p) < 5 AND node <> (SELECT b FROM ends) AND NOT list_contains(p, sy.dst))
+SELECT array_to_string(p, '>') AS path, len(w)::INT AS hops, round({_SCORE}, 9) AS score FROM r WHERE node = (SELECT b FROM ends)
+ORDER BY round({_SCORE}, 9) DESC, p LIMIT 20"""
+)
+def simple_paths(spark, sf_dir):
+    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
+    a, b = edges.agg(F.min("src"), F.max("dst")).first()
+    paths = g.simple_paths(edges, a, b, cutoff=4)
+    return paths.select(F.array_join("path", ">").alias("path"), "hops", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM hv),
+r AS (SELECT dst AS node, [src, dst] AS p FROM sy WHERE src = (SELECT a FROM ends)
+  UNION ALL SELECT sy.dst, list_append(p, sy.dst) FROM r JOIN sy ON sy.src = r.node WHERE len(p) < 7 AND NOT list_contains(p, sy.dst))
+SELECT array_to_string(p, '>') AS path FROM r WHERE node = (SELECT b FROM ends) ORDER BY len(p), p LIMIT 1"""
+)
+def shortest_path(spark, sf_dir):
+    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
+    a, b = edges.agg(F.min("src"), F.max("dst")).first()
+    return g.shortest_path(edges, a, b).select(F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""WITH {BRANDS}, {_HEAVY}, s AS (SELECT min(src) AS a FROM hv), n1 AS (SELECT DISTINCT dst AS id FROM sy, s WHERE src = a AND dst <> a),
+n2 AS (SELECT DISTINCT dst AS id FROM sy JOIN n1 ON sy.src = n1.id WHERE dst NOT IN (SELECT id FROM n1) AND dst <> (SELECT a FROM s))
+SELECT a AS id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2"""
+)
+def neighborhood(spark, sf_dir):
+    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
+    return g.neighborhood(edges, edges.agg(F.min("src")).first()[0], 2)[0]
+
+
+@query(f"WITH {BRANDS}, {_HEAVY}, s AS (SELECT min(src) AS a FROM hv) SELECT src, dst, weight FROM sy WHERE src = (SELECT a FROM s) OR src IN (SELECT dst FROM sy, s WHERE src = a)")
+def neighborhood_edges(spark, sf_dir):
+    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
+    return g.neighborhood(edges, edges.agg(F.min("src")).first()[0], 2)[1]
+
+
+@query(
+    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, r AS (SELECT id AS v, id AS u FROM nd UNION SELECT r.v, sy.dst FROM r JOIN sy ON r.u = sy.src)
+SELECT v AS id, min(u) AS component FROM r GROUP BY v"""
+)
+def connected_components(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return g.connected_components(nodes, g.cut(_heavy(edges)))
+
+
+@query(
+    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, r AS (SELECT id AS v, id AS u FROM nd UNION SELECT r.v, sy.dst FROM r JOIN sy ON r.u = sy.src),
+c AS (SELECT v AS id, min(u) AS community FROM r GROUP BY v), z AS (SELECT community, count(*) AS size FROM c GROUP BY community HAVING count(*) >= 2),
+m AS (SELECT community, count(*) AS m FROM hv JOIN c ON c.id = src GROUP BY community)
+SELECT community, size, round(2.0 * m / (size * (size - 1)), 3) AS density FROM z JOIN m USING (community)"""
+)
+def community_density(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    heavy = g.cut(_heavy(edges))
+    return g.community_stats(g.connected_components(nodes, heavy).withColumnRenamed("component", "community"), heavy)
+
+
+@query()
+def label_propagation(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return g.label_propagation(nodes, _heavy(edges))
+
+
+@query()
+def louvain(spark, sf_dir):
+    return g.louvain(g.cut(_heavy(_graph(spark, sf_dir)[2])))
+
+
+@query(
+    f"""WITH {BRANDS}, {_HEAVY}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), t AS (SELECT sum(weight) AS m FROM hv),
+i AS (SELECT a.c, sum(weight) AS s FROM hv JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.c = b.c GROUP BY 1), d AS (SELECT c, sum(weight) AS s FROM sy JOIN l ON l.id = src GROUP BY 1)
+SELECT round(sum(coalesce(i.s, 0) / m - pow(d.s / (2 * m), 2)), 9) AS modularity FROM d LEFT JOIN i USING (c), t"""
+)
+def modularity(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return g.modularity(nodes.select("id", F.substring("id", 1, 7).alias("community")), g.cut(_heavy(edges))).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query(
+    f"""WITH {BRANDS}, {_HEAVY}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), s AS (SELECT DISTINCT c AS community, 'summary of ' || lower(c) AS summary FROM l)
+SELECT community, (2 * n + CASE WHEN contains(summary, 'brand#1') THEN 1 ELSE 0 END + CASE WHEN contains(summary, 'summary') THEN 1 ELSE 0 END)::BIGINT AS score
+FROM (SELECT c, count(*) FILTER (lower(id) IN ('brand#1', 'brand#12')) AS n FROM l GROUP BY c) JOIN s ON s.community = c ORDER BY 2 DESC, 1 LIMIT 3"""
+)
+def relevant_communities(spark, sf_dir):
+    labels = _graph(spark, sf_dir)[1].select("id", F.substring("id", 1, 7).alias("community"))
+    summaries = labels.select("community", F.concat(F.lit("summary of "), F.lower("community")).alias("summary")).distinct()
+    out = g.relevant_communities(labels, summaries, "summary Brand#1 of Brand#12")
+    return out.select("community", F.col("score").cast("long").alias("score"))
+
+
+@query()
+def community_prompts(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    heavy = g.cut(_heavy(edges))
+    return g.community_prompts(g.connected_components(nodes, heavy).withColumnRenamed("component", "community"), nodes, heavy)
+
+
+@query(f"WITH {BRANDS}, {_EDGES}, x AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed) SELECT id, 'BRAND' AS label, count, (SELECT count(*) FROM x WHERE src = '{START}') AS degree, dst AS neighbor, weight, 'mentioned_with' AS type FROM nd JOIN x ON src = id WHERE id = '{START}' ORDER BY weight DESC, dst LIMIT 10")
+def node_detail(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return g.node_detail(nodes, edges, START.lower(), 10)
+
+
+@query(f"WITH {BRANDS}, {_EDGES} SELECT src, dst, weight FROM ed WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) ORDER BY weight DESC, src, dst LIMIT 40".replace(_EDGES, _EDGES + ", k AS (SELECT id FROM (SELECT id, count(*) AS d FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY id) ORDER BY d DESC, id LIMIT 12)"))
+def graph_export(spark, sf_dir):
+    _, nodes, edges = _graph(spark, sf_dir)
+    return g.export(nodes, edges, 12, 40)[1]
+
+
+_PATHS = _BFS.replace("st AS (SELECT id AS start FROM nd WHERE id IN (SELECT src FROM sy))", "st AS (SELECT min(src) AS start FROM hv)")
+
+
+@query(
+    _PATHS
+    + f""", pa AS (SELECT p, w, {_SCORE} AS score FROM em), b AS (SELECT * FROM pa ORDER BY round(score, 9) DESC, p LIMIT 10),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY list_sort(p) ORDER BY round(score, 9) DESC, p) = 1 ORDER BY round(score, 9) DESC, p LIMIT 5),
+n AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, p) AS chain FROM o),
+yr AS (SELECT name, min(year) AS lo, max(year) AS hi FROM mentions GROUP BY name),
+t AS (SELECT chain, min(lo) AS date_from, max(hi) AS date_to FROM (SELECT chain, unnest(p) AS name FROM n) JOIN yr USING (name) GROUP BY chain)
+SELECT chain::INT AS chain, array_to_string(p, '>') AS entities, round(score, 6) AS confidence, date_from, date_to, array_to_string(p, ' --[mentioned_with]--> ') AS description FROM n JOIN t USING (chain)"""
+)
+def evidence_chains(spark, sf_dir):
+    m, nodes, edges = _graph(spark, sf_dir)
+    with_chunks = g.build_edges(m, nodes, keep_chunks=20)
+    heavy = g.cut(_heavy(with_chunks))
+    start = heavy.select(F.min("src").alias("id"))
+    paths = v.path_chunks(g.multi_hop(heavy, start), heavy)
+    chunk = m.select(F.col("chunk_id").alias("id"), F.concat(F.lit("order "), F.col("chunk_id").cast("string")).alias("text")).distinct()
+    out = v.chains(paths, m, chunk)
+    return out.select("chain", F.array_join("entities", ">").alias("entities"), F.round("confidence", 6).alias("confidence"), "date_from", "date_to", "description")
+
+
+@query(_PATHS + " SELECT DISTINCT name FROM (SELECT unnest(p) AS name FROM em) WHERE name NOT IN (SELECT min(src) FROM hv)")
+def discovered_entities(spark, sf_dir):
+    _, _, edges = _graph(spark, sf_dir)
+    heavy = g.cut(_heavy(edges))
+    start = heavy.select(F.min("src").alias("id"))
+    return v.discovered(g.multi_hop(heavy, start), start.select(F.col("id").alias("name")))
+
+
+_COMP = f"""WITH {BRANDS}, h AS (SELECT doc_id AS id, text, 0.001 * (doc_id % 70) AS rrf, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
+q AS (SELECT name, count(*) AS n FROM mentions WHERE name IN ('Brand#11', 'Brand#23') GROUP BY name), m AS (SELECT DISTINCT chunk_id, name FROM mentions),
+en AS (SELECT h.id, least(count(*) / 2.0 * (1 + ln(1 + sum(q.n)) / 10), 1.0) AS e FROM h JOIN m ON m.chunk_id = h.id JOIN q ON q.name = m.name GROUP BY h.id)"""
+
+
+@query(
+    _COMP
+    + """SELECT id, round((0.35 * least(greatest(rrf / 0.05, 0), 1) + 0.2 * CASE k WHEN 0 THEN 0.8 WHEN 1 THEN 0.5 ELSE 0 END + 0.25 * coalesce(e, 0) + 0.2 * (id % 10) / 10.0) * 1.2
+* CASE WHEN id % 5 = 0 THEN 1.1 ELSE 1 END, 6) AS composite_score FROM h LEFT JOIN en USING (id)"""
+)
+def composite_score(spark, sf_dir):
+    m = mentions(spark, sf_dir, types=False)
+    names = e.counts(m).where(F.col("name").isin("Brand#11", "Brand#23")).select(F.lit(0).alias("qid"), "name", "count")
+    kinds = F.when(F.col("id") % 3 == 0, F.array(F.lit("dense"), F.lit("sparse"))).when(F.col("id") % 3 == 1, F.array(F.lit("sparse"))).otherwise(F.array(F.lit("dense")))
+    hits = docs(spark, sf_dir).where("text is not null").select(F.lit(0).alias("qid"), "id", "text", (0.001 * (F.col("id") % 70)).alias("rrf_score"), kinds.alias("retrieval_sources"))
+    graph = hits.select("qid", "id", (F.col("id") % 10 / 10.0).alias("graph"))
+    asked = spark.createDataFrame([(0, ["1997"], 9)], "qid int, dates array<string>, max_docs int")
+    near = hits.where("id % 5 = 0").select("qid", "id")
+    out = sc.score(hits, sc.entity_components(hits, m, names), graph, asked, near)
+    return out.select("id", F.round("composite_score", 6).alias("composite_score"))
+
+
+@query("SELECT l_orderkey AS id, max(l_quantity / 50) AS graph FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey")
+def graph_scores(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    paths = line.select(F.lit(0).alias("qid"), (F.col("l_quantity") / 50).alias("score"), F.array("l_orderkey").alias("evidence_chunks"))
+    return sc.graph_scores(paths).select("id", "graph")

@@ -170,14 +170,14 @@ def filter_metadata(spark, sf_dir):
     return s.filter_metadata(docs(spark, sf_dir), doc_type="text", entities=["Bleha", "ANST"], source_files=["SRC1", "src3", "src5", "src7"], min_length=400, exclude_keywords=["License"]).select("id")
 
 
-_ORDER_TEXT_SQL = "rt AS (SELECT o_orderkey AS id, 'Case ' || substr(year(o_orderdate)::VARCHAR, 3, 2) || '-OR-' || lpad(o_orderkey::VARCHAR, 7, '0') || '. Paid $' || (o_totalprice::BIGINT)::VARCHAR || '.00 under Section ' || (o_custkey % 90 + 1)::VARCHAR || ' at the hearing' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' in ' || year(o_orderdate)::VARCHAR END || '. Anna Weber met with Paul Stone.' AS text FROM orders)"
+_ORDER_TEXT_SQL = "rt AS (SELECT o_orderkey AS id, 'Case ' || substr(year(o_orderdate)::VARCHAR, 3, 2) || '-OR-' || lpad(o_orderkey::VARCHAR, 7, '0') || '. Paid $' || (floor(o_totalprice)::BIGINT)::VARCHAR || '.00 under Section ' || (o_custkey % 90 + 1)::VARCHAR || ' at the hearing' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' in ' || year(o_orderdate)::VARCHAR END || '. Anna Weber met with Paul Stone.' AS text FROM orders)"
 
 
 def order_texts(spark, sf_dir):
     """Order records as sentences with a case number, an amount, a statute, an event, a year and a relation."""
     o = table(spark, sf_dir, "orders")
     year = F.year("o_orderdate").cast("string")
-    money = F.col("o_totalprice").cast("decimal(18,0)").cast("long").cast("string")
+    money = F.floor("o_totalprice").cast("string")
     text = F.concat(
         F.lit("Case "), F.substring(year, 3, 2), F.lit("-OR-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit(". Paid $"), money, F.lit(".00 under Section "),
         (F.col("o_custkey") % 90 + 1).cast("string"), F.lit(" at the hearing"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit(" in "), year)), F.lit(". Anna Weber met with Paul Stone."),

@@ -1,0 +1 @@
+"""Structured Streaming over the query log and over entity mentions."""
