@@ -207,11 +207,32 @@ def _plausible(threshold: int, a: str, b: str, na: str, nb: str) -> Column:
     return sizes & (_estimate(a, b) >= t - SIGMAS * error)
 
 
+def possibly(rows: DataFrame, column: str, wanted: DataFrame, hash_column: str) -> DataFrame:
+    """rows whose 64-bit hash may be among the wanted ones, by a Bloom filter of one bit a hash; no other is lost.
+
+    The filter is one broadcast row of 2**16 to 2**26 bits (8 MB at most), 32 for
+    each wanted hash until that bound is met; a join with wanted follows, so a
+    fuller filter costs time only.
+    """
+    spark = rows.sparkSession
+    bits = min(26, max(16, int(32 * max(wanted.count(), 1) - 1).bit_length()))
+    place = F.shiftrightunsigned(F.col(hash_column), 64 - bits)
+    words = wanted.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hash_column}, {64 - bits}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toArrow()
+    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    one = spark.createDataFrame(pa.table({"bits__": pa.array([table.tolist()], pa.list_(pa.int64()))}))
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    # One row of bounded size.
+    held = rows.crossJoin(F.broadcast(one)).where(F.getbit(F.get("bits__", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return held.drop("bits__")
+
+
 def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the classes in pairs (a, b), from one text of each."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(classes.join(nodes, "node").select("node", "rep.doc_id", "rep.text_hash"))
-    text = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
+    text = possibly(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text"), "h", needed, "text_hash")
     found = text.join(needed, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +246,15 @@ def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Data
     return stored(found.mapInArrow(sets, "node binary, shingles binary"))
 
 
+def _bits(elements: np.ndarray) -> np.ndarray:
+    flags = np.zeros(256, bool)
+    flags[(elements & U(255)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
 def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """pairs (a, b) with nb (the size of b's set), na, linked, gained and lost: b's elements that a lacks and the reverse."""
+    """pairs (a, b) with nb (the size of b's set), na, linked, gained and lost (b's elements that a lacks and the
+    reverse) and bits (a bit map of lost by 8 bits of hash)."""
     shingles = _sets(pairs, classes, docs, k)
     both = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
@@ -238,12 +266,12 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
                 gained, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
                 common = len(x) - len(lost)
                 linked = 100 * common >= threshold * (len(x) + len(y) - common)
-                rows.append((len(x), len(y), linked, gained.view(np.int64), lost.view(np.int64)))
-            na, nb, linked, gained, lost = zip(*rows) if rows else ((), (), (), (), ())
-            more = [pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(gained, pa.list_(pa.int64())), pa.array(lost, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["a", "b", "na", "nb", "linked", "gained", "lost"])
+                rows.append((len(x), len(y), linked, gained.view(np.int64), lost.view(np.int64), _bits(lost)))
+            na, nb, linked, gained, lost, bits = zip(*rows) if rows else ((), (), (), (), (), ())
+            more = [pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(gained, pa.list_(pa.int64())), pa.array(lost, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["a", "b", "na", "nb", "linked", "gained", "lost", "bits"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, na long, nb long, linked boolean, gained array<long>, lost array<long>")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, na long, nb long, linked boolean, gained array<long>, lost array<long>, bits array<long>")
 
 
 def near_dups(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) -> DataFrame:
@@ -290,12 +318,14 @@ def _by_difference(compared: DataFrame, labels: DataFrame, threshold: int) -> Da
     gained gx elements and lost lx; x and y differ where these differ, so they
     share at least o = (gx + lx + gy + ly - H) / 2 of them if linked. x is one
     that c does not link: gx + lx > r (|x| + |c|). Two cases:
-    - They share a gained element. These are rarely shared; pairs meet on them
-      if the sizes allow it, |gx - gy| + |lx - ly| <= H.
+    - They share a gained element, so pairs meet on those that two classes or
+      more have gained.
     - They share lost elements only. Then gx + gy + |lx - ly| <= H, and
       o >= lx + gx - H and o > (gy + ly + r (|c| - |y|)) / 2 =: v, so the first
       H - gx + 1 of x's and the first ly - floor(v) of y's lost elements, in one
       order, have one in common. Where words were replaced there is no such pair.
+    In both, o is at most what they can share: the gained elements of x or of y
+    that others have, and lost ones whose bits agree (or collide in x's map).
     """
     t, r = threshold / 100, (100 - threshold) / (100 + threshold)
     # Only centres with a class that they do not link need this.
@@ -307,17 +337,33 @@ def _by_difference(compared: DataFrame, labels: DataFrame, threshold: int) -> Da
     first_x = F.greatest(F.least(F.col("l"), most - F.col("g") + 1), F.lit(0)).cast("int")
     first_y = F.greatest(F.least(F.col("l"), F.col("l") - v), F.lit(0)).cast("int")
 
-    def side(df: DataFrame, name: str, elements: Column) -> DataFrame:
-        """The elements of each row, with what the join looks at."""
-        return df.select("a", F.explode(elements).alias("e"), F.col("b").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "nb", "g", "l")))
+    each = rows.select("a", "b", F.explode("gained").alias("e"))
+    common_e = stored(each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "e"))
+    held = stored(each.join(common_e, ["a", "e"]))
+    shared_g = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    rows = stored(rows.join(shared_g, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0))))
+    looked_at = ("label", "nb", "g", "l", "s", "bits")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        """(a, e, ...): a row's elements with what the join looks at."""
+        return df.select("a", "e", F.col("b").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in looked_at))
 
     room = r * (F.col("nb_x") + F.col("nb_y")) + 1e-9
+    need = (F.col("g_x") + F.col("l_x") + F.col("g_y") + F.col("l_y") - room) / 2
+    count = lambda f: sum((F.bit_count(f(i)) for i in range(4)), F.lit(0))
+    agree = count(lambda i: F.get("bits_x", F.lit(i)).bitwiseAND(F.get("bits_y", F.lit(i)))) + F.col("l_x") - count(lambda i: F.get("bits_x", F.lit(i)))
     other = F.col("label_x") != F.col("label_y")
     lost_apart = F.abs(F.col("l_x") - F.col("l_y"))
-    loose = rows.where("not linked")
-    by_gained = side(loose, "x", F.col("gained")).join(side(rows, "y", F.col("gained")).withColumnsRenamed({"a": "a2", "e": "e2"}), (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & other & (F.abs(F.col("g_x") - F.col("g_y")) + lost_apart <= room))
-    by_lost = side(loose, "x", F.slice("lost", F.lit(1), first_x)).join(side(rows, "y", F.slice("lost", F.lit(1), first_y)).withColumnsRenamed({"a": "a2", "e": "e2"}), (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & other & (F.col("g_x") + F.col("g_y") + lost_apart <= room))
-    met = stored(by_gained.select("a", "x", "y").unionByName(by_lost.select("a", "x", "y")).distinct())
+
+    def meet(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+        y = side(y, "y").withColumnsRenamed({"a": "a2", "e": "e2"})
+        return side(x, "x").join(y, (F.col("a") == F.col("a2")) & (F.col("e") == F.col("e2")) & other & condition).select("a", "x", "y")
+
+    gained = held.join(rows, ["a", "b"])
+    by_gained = meet(gained.where("not linked"), gained, (F.abs(F.col("g_x") - F.col("g_y")) + lost_apart <= room) & (F.least("s_x", "s_y") + agree >= need))
+    lost = lambda df, n: df.withColumn("e", F.explode(F.slice("lost", F.lit(1), n)))
+    by_lost = meet(lost(rows.where("not linked"), first_x), lost(rows, first_y), (F.col("g_x") + F.col("g_y") + lost_apart <= room) & (agree >= need))
+    met = stored(by_gained.unionByName(by_lost).distinct())
     given = lambda v: rows.select("a", F.col("b").alias(v), F.col("nb").alias(f"n{v}"), F.concat("gained", "lost").alias(f"d{v}"))
     both = met.join(given("y"), ["a", "y"]).join(given("x"), ["a", "x"])
     apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
