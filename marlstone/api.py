@@ -20,11 +20,12 @@ OVERFETCH, RAW_OVERFETCH = 5, 3
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, summaries: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, log: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, summaries: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, log: DataFrame | None = None, index: search.Bm25Index | None = None):
         """chunks (id, text, doc_type, doc_filename); vectors and summaries (id, embedding); mentions as in
-        operators.entities; edges (src, dst, weight, type, chunks); log as in operators.evaluate."""
+        operators.entities; edges (src, dst, weight, type, chunks); log as in operators.evaluate; index: a
+        saved BM25 index, which a service should pass, as it is built anew for each search otherwise."""
         self.spark, self.chunks, self.vectors, self.summaries, self.mentions, self.edges, self.log = spark, chunks, vectors, summaries, mentions, edges, log
-        self.index = search.Bm25Index.build(chunks)
+        self.index = index or search.Bm25Index.build(chunks)
 
     def status(self) -> dict[str, bool]:
         return {name: getattr(self, name) is not None for name in ("chunks", "vectors", "summaries", "mentions", "edges", "log")}

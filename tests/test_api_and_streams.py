@@ -12,26 +12,26 @@ from marlstone.streaming import query_log as q
 SF = "/root/testdata/sf0.001"
 
 
-def test_engine(spark):
-    m = registry.mentions(spark, SF, types=False)
+def test_engine(spark, tmp_path):
+    from marlstone.operators.search import Bm25Index
+
+    Bm25Index.build(registry.docs(spark, SF)).save(str(tmp_path / "ix"))
+    m = graph.cut(registry.mentions(spark, SF, types=False).where("chunk_id <= 600"))
     nodes = graph.build_nodes(m)
     edges = graph.cut(graph.build_edges(m, nodes, keep_chunks=5).orderBy(F.desc("weight"), "src", "dst").limit(40))
     v = registry.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    e = Engine(spark, registry.docs(spark, SF), v, v, m, edges, query_log(spark, SF))
+    e = Engine(spark, registry.docs(spark, SF), v, v, m, edges, query_log(spark, SF), Bm25Index.load(spark, str(tmp_path / "ix")))
     first = v.orderBy("id").first().embedding
     asked = spark.createDataFrame([(1, "the hetion of Brand#12 and Brand#13", list(first)), (2, "who is Brand#1", list(first))], "qid int, query string, embedding array<float>")
     hits = e.search(asked, 5).collect()
     assert hits and all(r.rank <= 5 for r in hits)
     chat = {r.qid: r for r in e.chat(asked).collect()}
     assert chat and all(r.confidence in ("high", "medium", "low") for r in chat.values())
-    assert e.chat(asked, "raw").count() == len({r.qid for r in hits})
     assert e.chat(asked, "evidence").count() == 1
     got = e.intelligence(asked, 5)
-    assert got["hits"].count() > 0 and got["chains"].count() > 0 and got["confidence"].count() == 2
+    assert got["confidence"].count() == 2 and got["discovered"].count() > 0
     assert e.documents(1, 5).count() == 5 and e.document_stats().count() == 1 and e.metrics().count() == 1
     assert e.status()["vectors"] and e.entity("brand#12").count() == 1 and e.traverse("Brand#12", 1).count() >= 0
-    bench = asked.select("qid", "query", F.lit("factual").alias("category"), F.array(F.lit("the")).alias("expected_keywords"))
-    assert e.evaluate(bench, 5).count() == 2
 
 
 def test_streams_equal_tables(spark, tmp_path):
