@@ -131,8 +131,8 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
     single = rows.where("not maybe__").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     maybe = rows.where("maybe__")
     best = F.struct((-F.col("chars__")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("row__").alias("row"))
-    groups = maybe.groupBy("sha__").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best__"))
-    # The join's left side may hold one group of any size; Spark splits such a partition (AQE's skew join).
+    # Stored, so that both sides of the join come straight from an exchange and Spark can split a hot group.
+    groups = stored(maybe.groupBy("sha__").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best__")))
     joined = maybe.join(groups, "sha__").select("doc_id", F.col("best__.id").alias("keep_id"), "group_size", (F.col("row__") == F.col("best__.row")).alias("kept"), sha)
     return single.unionByName(joined)
 
