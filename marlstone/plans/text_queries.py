@@ -79,8 +79,13 @@ def paragraph_chunks(spark, sf_dir):
 _NOISY = "n AS (SELECT o_orderkey AS id, repeat('a', 1 + o_orderkey % 9) || ' ____________ x' || chr(12) || '  y' || chr(9) || 'z ------- foo-' || chr(10) || 'bar, ' || chr(10) || 'baz' || chr(10) || chr(10) || chr(10) || chr(10) || '======.' || '......' || o_orderkey || '  ' AS text FROM orders)"
 
 
+_REPEATS = "t"
+for _c in "a0123456789":  # RE2 has no back references
+    _REPEATS = f"regexp_replace({_REPEATS}, '{_c}{{5,}}', '{_c * 3}', 'g')"
+
+
 @query(
-    f"""WITH {_NOISY}, s1 AS (SELECT id, replace(text, chr(12), '') AS t FROM n), s2 AS (SELECT id, regexp_replace(t, 'aaaaa+', 'aaa', 'g') AS t FROM s1),
+    f"""WITH {_NOISY}, s1 AS (SELECT id, replace(text, chr(12), '') AS t FROM n), s2 AS (SELECT id, {_REPEATS} AS t FROM s1),
 s3 AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '_{{5,}}', '___', 'g'), '-{{5,}}', '---', 'g'), '={{5,}}', '', 'g'), '\\.{{5,}}', '...', 'g') AS t FROM s2),
 s4 AS (SELECT id, regexp_replace(regexp_replace(replace(t, chr(9), '    '), '[ ]+' || chr(10), chr(10), 'g'), ' {{2,}}', ' ', 'g') AS t FROM s3),
 s5 AS (SELECT id, regexp_replace(regexp_replace(t, '(\\w)-' || chr(10) || '(\\w)', '\\1\\2', 'g'), '([a-z,;])' || chr(10) || '([a-z])', '\\1 \\2', 'g') AS t FROM s4)
