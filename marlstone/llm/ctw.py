@@ -12,9 +12,11 @@ For scoring the trees are frozen. A node that never occurred passes on the
 mixture of the depths above it. The log probability of byte y after context s is
 then tabulated for each (s, y) that occurred; other bytes share what s leaves
 over, in proportion to the next shorter context, so each context's probabilities
-sum to 1. Entries of depth 2 and more stay in the table if they have at least
-2**-SHARE_BITS of all bytes, so at most 2**SHARE_BITS entries a depth, whatever
-the corpus; pruned ones fall under the rest. The table is broadcast.
+sum to 1. Nothing that was counted is left out: each subtree gives every window
+that occurs in the texts to be scored its log probability, and these are stored.
+Windows with at least 2**-SHARE_BITS of all bytes (at most 2**SHARE_BITS) are
+broadcast and summed where a text is read; the others meet the stored table in a
+join, which thus has no frequent key.
 
 Texts are lower-cased (A-Z) and end with an end symbol (byte FF, which UTF-8
 never uses). Null counts as empty; the empty text is the end alone. Beside the
@@ -26,12 +28,14 @@ scored separately; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,8 @@ from .hashtable import find, hashed
 from .token_sums import hot, sum_over_tokens, vocabulary
 
 DEPTH = 5
-SHARE_BITS = 24
+#: Says which windows are broadcast; it has no effect on the scores.
+SHARE_BITS = 22
 END = 255
 #: Bytes of text that are worked on at once.
 CHUNK = 2 << 20
@@ -79,8 +84,8 @@ def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield part
 
 
-def window_counts(docs: DataFrame) -> DataFrame:
-    """(code, n) over the texts of docs."""
+def window_counts(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(code, n) over the texts of docs, and n = 0 for windows that only the texts of asked have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,7 +107,10 @@ def window_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield _pairs(*merged())
 
-    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "code long, n long")
+    if asked is not None:
+        counted = counted.union(asked.select("text").mapInArrow(count, "code long, n long").withColumn("n", F.lit(0).cast("long")))
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _pairs(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -207,6 +215,10 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability."""
         code, n = windows(texts)
+        return np.add.reduceat(self.log_p(code), np.cumsum(n) - n) / math.log(10) if len(n) else np.zeros(0)
+
+    def log_p(self, code: np.ndarray) -> np.ndarray:
+        """log of each window's last byte's probability."""
         out = np.zeros(len(code))
         left = None  # positions without a probability yet
         for depth in range(DEPTH, 1, -1):
@@ -228,24 +240,18 @@ class Model:
         rest = code if left is None else code[left]
         y, x = (rest & np.uint64(255)).astype(int), ((rest >> np.uint64(8)) & np.uint64(255)).astype(int)
         out[slice(None) if left is None else left] += self.log1[x, y]
-        return np.add.reduceat(out, np.cumsum(n) - n) / math.log(10) if len(n) else np.zeros(0)
+        return out
 
 
-def fit(docs: DataFrame) -> Model:
-    """The frozen mixture learned from all texts of docs."""
-    spark = docs.sparkSession
-    counts = _grouped(stored(window_counts(docs)))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    model = Model()
-    if not total:
-        return model
+def _top(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nodes of depth 1: probability of a 1 from depths 0 and 1, their weight, the weight that is left; and log1."""
 
     def depth2(table: pa.Table) -> pa.Table:
         level = subtree(*_arrays(table))[2]
         return pa.table({"node": level.nodes.astype(np.int64) & 0xFFFF, "n0": level.n0, "n1": level.n1, "log_w": level.log_w})
 
     # At most 256 * 255 rows: a node of depth 1 is the last byte and the bits so far.
-    top = counts.groupBy("tail").applyInArrow(depth2, "node long, n0 double, n1 double, log_w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("log_w")).orderBy("node").toArrow()
+    top = counts.where("n > 0").groupBy("tail").applyInArrow(depth2, "node long, n0 double, n1 double, log_w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("log_w")).orderBy("node").toArrow()
     node, n0, n1, below = (top.column(c).to_numpy() for c in ("node", "n0", "n1", "log_w"))
     shares, thetas = np.ones((2, 256, 256)), np.full((2, 256, 256), 0.5)
     kt1 = log_kt(n0, n1)
@@ -261,46 +267,112 @@ def fit(docs: DataFrame) -> Model:
     acc0, mass0, rest0 = shares[0] * thetas[0], shares[0], 1 - shares[0]
     own = np.where(seen1, shares[1], 0)
     acc1, mass1, rest1 = acc0 + rest0 * own * thetas[1], mass0 + rest0 * own, rest0 * (1 - own)
-    model.log1 = _dense(mixed(acc1, mass1, np.where(seen1, thetas[1], thetas[0])))
-    shared = spark.sparkContext.broadcast((acc1, mass1, rest1, model.log1))
-    least = max(1, math.ceil(total / 2**SHARE_BITS))
-
-    def entries(table: pa.Table) -> pa.Table:
-        levels = subtree(*_arrays(table))
-        acc1, mass1, rest1, log1 = shared.value
-        out = []
-        above = None
-        for depth in range(2, DEPTH + 1):
-            level = levels[depth]
-            if depth == 2:
-                x, v = ((level.nodes >> np.uint64(8)) & np.uint64(255)).astype(int), (level.nodes & np.uint64(255)).astype(int)
-                level.mix(acc1[x, v], mass1[x, v], rest1[x, v])
-            else:
-                up = np.searchsorted(above.nodes, level.nodes & np.uint64((1 << (8 * depth)) - 1))
-                level.mix(above.acc[up], above.mass[up], above.rest[up])
-            log_p = level.log_p()
-            if depth == 2:
-                short = log1[((level.code >> np.uint64(8)) & np.uint64(255)).astype(int), (level.code & np.uint64(255)).astype(int)]
-            else:
-                short = above.log_p()[np.searchsorted(above.code, level.code & np.uint64((1 << (8 * depth)) - 1))]
-            keep = level.n >= least
-            code, log_p, short = level.code[keep], log_p[keep], short[keep]
-            context, at = np.unique(code >> np.uint64(8), return_inverse=True)
-            left = np.maximum(1 - np.bincount(at, np.exp(log_p), len(context)), 1e-9)
-            left_short = np.maximum(1 - np.bincount(at, np.exp(short), len(context)), 1e-9)
-            out.append((np.full(len(code), 2 * depth), code, log_p))
-            out.append((np.full(len(context), 2 * depth + 1), context, np.log(left) - np.log(left_short)))
-            above = level
-        kind, code, value = (np.concatenate(z) for z in zip(*out))
-        return pa.table({"kind": kind.astype(np.int32), "code": code.astype(np.int64), "value": value})
-
-    got = counts.groupBy("tail").applyInArrow(entries, "kind int, code long, value double").toArrow()
-    kind, code, value = got.column(0).to_numpy(), got.column(1).to_numpy().astype(np.uint64), got.column(2).to_numpy()
+    return acc1, mass1, rest1, _dense(mixed(acc1, mass1, np.where(seen1, thetas[1], thetas[0])))
+
+
+def _entries(levels: dict[int, Level], top: tuple) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, codes, their log probabilities, contexts, their escapes) of each level from 2."""
+    acc1, mass1, rest1, log1 = top
+    above, above_p = None, None
     for depth in range(2, DEPTH + 1):
-        model.entries[depth], model.escapes[depth] = (hashed(code[kind == k], value[kind == k]) for k in (2 * depth, 2 * depth + 1))
+        level = levels[depth]
+        if depth == 2:
+            x, v = ((level.nodes >> np.uint64(8)) & np.uint64(255)).astype(int), (level.nodes & np.uint64(255)).astype(int)
+            level.mix(acc1[x, v], mass1[x, v], rest1[x, v])
+            short = log1[((level.code >> np.uint64(8)) & np.uint64(255)).astype(int), (level.code & np.uint64(255)).astype(int)]
+        else:
+            up = np.searchsorted(above.nodes, level.nodes & np.uint64((1 << (8 * depth)) - 1))
+            level.mix(above.acc[up], above.mass[up], above.rest[up])
+            short = above_p[np.searchsorted(above.code, level.code & np.uint64((1 << (8 * depth)) - 1))]
+        log_p = level.log_p()
+        context, at = np.unique(level.code >> np.uint64(8), return_inverse=True)
+        left = np.maximum(1 - np.bincount(at, np.exp(log_p), len(context)), 1e-9)
+        left_short = np.maximum(1 - np.bincount(at, np.exp(short), len(context)), 1e-9)
+        yield depth, level.code, log_p, context, np.log(left) - np.log(left_short)
+        above, above_p = level, log_p
+
+
+def fit(docs: DataFrame) -> Model:
+    """The frozen mixture learned from all texts of docs, on the driver: for small corpora; lm_scores has no need of it."""
+    counts = _grouped(stored(window_counts(docs)))
+    model = Model()
+    if counts.isEmpty():
+        return model
+    top = _top(counts)
+    model.log1 = top[3]
+    for depth, code, log_p, context, escape in _entries(subtree(*_arrays(counts.orderBy("code").toArrow())), top):
+        model.entries[depth], model.escapes[depth] = hashed(code, log_p), hashed(context, escape)
     return model
 
 
+def window_values(counts: DataFrame) -> DataFrame:
+    """(code, n, log_p) of all windows of counts, by the mixture learned from those with n > 0."""
+    shared = counts.sparkSession.sparkContext.broadcast(_top(counts))
+
+    def values(table: pa.Table) -> pa.Table:
+        code, n = _arrays(table)
+        model = Model()
+        model.log1 = shared.value[3]
+        out, seen = np.zeros(len(code)), n > 0
+        if seen.any():
+            for depth, entry, log_p, context, escape in _entries(subtree(code[seen], n[seen]), shared.value):
+                if not seen.all():
+                    model.entries[depth], model.escapes[depth] = hashed(entry, log_p), hashed(context, escape)
+            out[seen] = log_p[np.searchsorted(entry, code[seen])]  # of the last depth, whole windows
+        if not seen.all():
+            out[~seen] = model.log_p(code[~seen])
+        return pa.table({"code": code.astype(np.int64), "n": n.astype(np.int64), "log_p": out})
+
+    return _grouped(counts).groupBy("tail").applyInArrow(values, "code long, n long, log_p double")
+
+
+def _mark(text: str | None) -> int:
+    """A 63-bit hash of the text, below 0: no code has that value."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little") - (1 << 64) >> 1
+
+
+def window_sums(docs: DataFrame, train: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key_id, mark, score): the log10 probability of each distinct pair of doc_id and text of docs.
+
+    asked: the rows of docs that may have texts which train doesn't have.
+    """
+    spark = docs.sparkSession
+    counts = stored(window_counts(train, asked))
+    table = stored(window_values(_grouped(counts)))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    got = table.where((F.col("n") > 0) & (F.col("n") * F.lit(1 << SHARE_BITS) >= F.lit(total))).select("code", "log_p").toArrow()
+    frequent = spark.sparkContext.broadcast(hashed(got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, start = batch.column(1).to_pylist(), 0
+            for part in _chunks(texts):
+                code, n = windows(part)
+                value = find(frequent.value, code).astype(float)
+                cold = np.flatnonzero(np.isnan(value))
+                value[cold] = 0
+                sums = np.add.reduceat(value, np.cumsum(n) - n)
+                mark = np.array([_mark(t) for t in texts[start : start + len(n)]], np.int64)
+                doc = np.repeat(np.arange(len(n)), n)[cold]
+                at = pa.array(np.concatenate([np.arange(len(n)), doc]) + start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at),
+                        pa.array(np.concatenate([mark, mark[doc]])),
+                        # A text's own row has its mark for a code: it meets nothing, and isn't one key as null would be.
+                        pa.array(np.concatenate([mark, code[cold].astype(np.int64)])),
+                        pa.concat_arrays([pa.array(sums), pa.nulls(len(doc), pa.float64())]),
+                    ],
+                    ["key_id", "mark", "code", "sum__"],
+                )
+                start += len(n)
+
+    schema = T.StructType([T.StructField("key_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("mark long, code long, sum__ double").fields])
+    met = docs.select("doc_id", "text").mapInArrow(walk, schema).join(table.select("code", "log_p"), "code", "left")
+    # Rows that agree in doc_id and text add the same, so their sum over their number is that of each.
+    return met.groupBy("key_id", "mark").agg((F.sum(F.coalesce("sum__", "log_p")) / F.count("sum__") / math.log(10)).alias("score"))
+
+
 def _dense(p: np.ndarray) -> np.ndarray:
     """log probabilities of all 256 bytes for each row of node probabilities of a 1."""
     p = np.clip(p, 1e-12, 1 - 1e-12)
@@ -312,28 +384,30 @@ def _dense(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def lm_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def lm_scores(docs: DataFrame, train: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    asked: the rows of docs that are not in train, where that is known.
+    """
     table = stored(vocabulary(train, words))
     total, distinct = table.agg(F.sum("n"), F.count("n")).first()
     total = total or 0
     low = math.log10(0.1) - math.log10(total + 0.1 * (distinct + 1))
     table = table.withColumn("log_p", F.log10(F.col("n") + F.lit(0.1)) - F.lit(math.log10(total + 0.1 * (distinct + 1))) - F.lit(low))
-    model = spark.sparkContext.broadcast(fit(train))
 
     def extra(texts: list) -> list[pa.Array]:
-        scores = [model.value.score(part) for part in _chunks(texts)]
         n = [len((t or "").encode().split()) + 1 for t in texts]
-        return [pa.array(n, pa.int64()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
+        return [pa.array(n, pa.int64()), pa.array([_mark(t) for t in texts], pa.int64())]
 
     # value__ sums what known tokens have above an unknown one's log probability.
-    out = sum_over_tokens(docs, words, table, "log_p", hot(table, total, "log_p"), None, extra, "n_tokens long, score double")
+    base = sum_over_tokens(docs, words, table, "log_p", hot(table, total, "log_p"), None, extra, "n_tokens long, mark__ long")
+    scores = window_sums(docs, train, docs if asked is None else asked)
+    out = base.join(scores, base.doc_id.eqNullSafe(scores.key_id) & (base.mark__ == scores.mark))
     return out.select("doc_id", "n_tokens", F.col("known__").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("value__") + F.col("n_tokens") * F.lit(low)).alias("base_score"), "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 10) == 0
-    scored = lm_scores(docs, docs.where(~held_out))
+    scored = lm_scores(docs, docs.where(~held_out), docs.where(held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -179,6 +179,88 @@ def _log_p(model, key):
     return out + float(model.log1[int(key[0] >> np.uint64(8)) & 255, int(key[0]) & 255])
 
 
+class PlainTrees:
+    """The frozen context-tree mixture by direct recursion, one node at a time."""
+
+    def __init__(self, texts):
+        self.n = Counter()  # (context, bits so far, bit)
+        self.bytes, self.contexts = set(), set()
+        for t in texts:
+            for s, y in self.steps(t):
+                for d in range(ctw.DEPTH + 1):
+                    c = s[len(s) - d :]
+                    self.bytes.add((c, y))
+                    self.contexts.add(c)
+                    for i in range(8):
+                        self.n[c, (1 << i) | (y >> (8 - i)), (y >> (7 - i)) & 1] += 1
+        self.nodes = {k[:2] for k in self.n}
+        self.children = {}
+        for c, v in self.nodes:
+            if c:
+                self.children.setdefault((c[1:], v), []).append((c, v))
+        self.known = {}
+
+    @staticmethod
+    def steps(text):
+        b = b"\xff" * ctw.DEPTH + (text or "").encode().translate(LOWER) + b"\xff"
+        return [(b[i - ctw.DEPTH : i], b[i]) for i in range(ctw.DEPTH, len(b))]
+
+    def kt(self, c, v):
+        a, b = self.n[c, v, 0], self.n[c, v, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def w(self, c, v):
+        if (c, v) not in self.known:
+            k = self.kt(c, v)
+            if len(c) < ctw.DEPTH:
+                k = float(np.logaddexp(k, sum(self.w(*x) for x in self.children[c, v]))) - math.log(2)
+            self.known[c, v] = k
+        return self.known[c, v]
+
+    def p(self, s, y):
+        """Of byte y by the depths down to that of s."""
+        out = 1.0
+        for i in range(8):
+            v, acc, mass, rest = (1 << i) | (y >> (8 - i)), 0.0, 0.0, 1.0
+            for d in range(len(s) + 1):
+                c = s[len(s) - d :]
+                if (c, v) not in self.nodes:
+                    break
+                share = 1.0 if d == ctw.DEPTH else math.exp(self.kt(c, v) - math.log(2) - self.w(c, v))
+                a, b = self.n[c, v, 0], self.n[c, v, 1]
+                acc, mass, rest = acc + rest * share * (b + 0.5) / (a + b + 1), mass + rest * share, rest * (1 - share)
+            one = acc / mass if mass else 0.5
+            out *= one if (y >> (7 - i)) & 1 else 1 - one
+        return out
+
+    def log_p(self, s, y):
+        if len(s) < 2 or (s, y) in self.bytes:
+            return math.log(self.p(s, y))
+        out = self.log_p(s[1:], y)
+        if s in self.contexts:
+            seen = [x for x in range(256) if (s, x) in self.bytes]
+            out += math.log(1 - sum(self.p(s, x) for x in seen)) - math.log(1 - sum(self.p(s[1:], x) for x in seen))
+        return out
+
+    def score(self, text):
+        return sum(self.log_p(s, y) for s, y in self.steps(text)) / math.log(10)
+
+
+@pytest.mark.parametrize("bits", [0, 6, 22])
+def test_lm_scores_are_those_of_plain_trees_whatever_is_broadcast(docs, monkeypatch, bits):
+    monkeypatch.setattr(ctw, "SHARE_BITS", bits)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "thing", "sang", "high", "Été", "rare"]) for _ in range(6)) for _ in range(14)]
+    df = docs([*enumerate(texts), (20, None), (21, "the the"), (21, "the the"), (21, "sang"), (None, "zq unseen"), (None, "日 the")])
+    plain = PlainTrees(texts[:8])
+    got = ctw.lm_scores(df, df.where("doc_id < 8")).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((x.doc_id, plain.score(x.text)) for x in df.collect()), key=key)
+    assert len(got) == len(want)
+    for (i, score), (j, wanted) in zip(sorted(((x.doc_id, x.score) for x in got), key=key), want):
+        assert i == j and math.isclose(score, wanted, rel_tol=1e-5), (i, score, wanted)
+
+
 @pytest.mark.parametrize("bits", [None, 16])
 def test_exact_dedup(docs, monkeypatch, bits):
     if bits:
