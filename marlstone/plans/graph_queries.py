@@ -139,12 +139,12 @@ def community_density(spark, sf_dir):
 @query()
 def label_propagation(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
-    return g.label_propagation(nodes, _heavy(edges))
+    return g.label_propagation(nodes, edges)
 
 
 @query()
 def louvain(spark, sf_dir):
-    return g.louvain(g.cut(_heavy(_graph(spark, sf_dir)[2])))
+    return g.louvain(g.cut(_graph(spark, sf_dir)[2]))
 
 
 @query(
@@ -172,8 +172,8 @@ def relevant_communities(spark, sf_dir):
 @query()
 def community_prompts(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
-    heavy = g.cut(_heavy(edges))
-    return g.community_prompts(g.connected_components(nodes, heavy).withColumnRenamed("component", "community"), nodes, heavy)
+    edges = g.cut(edges)
+    return g.community_prompts(g.connected_components(nodes, edges).withColumnRenamed("component", "community"), nodes, edges)
 
 
 @query(f"WITH {BRANDS}, {_EDGES}, x AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed) SELECT id, 'BRAND' AS label, count, (SELECT count(*) FROM x WHERE src = '{START}') AS degree, dst AS neighbor, weight, 'mentioned_with' AS type FROM nd JOIN x ON src = id WHERE id = '{START}' ORDER BY weight DESC, dst LIMIT 10")
