@@ -2,15 +2,16 @@
 
 The kernel of two texts counts the byte n-grams (blended spectrum: 2 to 4 bytes,
 presence only, A-Z lower-cased) that both have, out of those that at least
-MIN_LANDMARKS landmark texts have, and is normalised to 1 for a text with
-itself. Landmarks span the Nystroem features K(x, L) K(L, L)^-1/2, on which one
+MIN_LANDMARKS landmark texts have, or all those of a language with fewer, and is
+normalised to 1 for a text with itself. Landmarks span the Nystroem features K(x, L) K(L, L)^-1/2, on which one
 kernel ridge regression is fitted for each language against the rest. Both fold
 into one matrix, so scoring a batch is two products: presence by landmark, and
 landmark by language.
 
 Fitting uses a bounded sample of the labelled rows: PER_LANGUAGE texts of each of
 the MAX_LANGUAGES most frequent labels, none of over MAX_CHARS characters,
-chosen by a seeded hash. Scoring takes every text whole.
+chosen by a seeded hash; a label that only has longer texts gives as many
+characters of these, from the first letter on. Scoring takes every text whole.
 
 Prediction: ``und`` with score 0 if a text is null or has no letter, or if there
 is nothing to learn from; else the language of the largest output f (ties: first
@@ -78,31 +79,33 @@ class Kernel:
         at = 0
         for n, codes in known.items():
             # Open addressing: code -> column, -1 for an empty slot.
-            slot, keys = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, np.uint32)
+            bits = max(SLOT_BITS, int(2 * len(codes)).bit_length())
+            slot, keys = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint32)
             for i, c in enumerate(codes.tolist()):
-                s = int(self.slot(np.array([c], np.uint32), n)[0])
+                s = int(self.slot(np.array([c], np.uint32), n, bits)[0])
                 while slot[s] >= 0:
-                    s = (s + 1) & ((1 << SLOT_BITS) - 1)
+                    s = (s + 1) & ((1 << bits) - 1)
                 slot[s], keys[s] = at + i, c
             self.slots[n] = (slot, keys)
             at += len(codes)
 
     @staticmethod
-    def slot(code: np.ndarray, n: int) -> np.ndarray:
-        return ((code * TURN[n]) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+    def slot(code: np.ndarray, n: int, bits: int) -> np.ndarray:
+        return ((code * TURN[n]) >> np.uint32(32 - bits)).astype(np.int64)
 
     def presence(self, texts: list[bytes]) -> np.ndarray:
         """Rows of 0 and 1: which n-grams a text has."""
         out = np.zeros(len(texts) * self.size, np.uint8)
         for n, row, code in grams(texts):
             slot, keys = self.slots[n]
-            s = self.slot(code, n)
+            bits = len(slot).bit_length() - 1
+            s = self.slot(code, n, bits)
             while len(s):
                 column = slot[s]
                 hit = (column >= 0) & (keys[s] == code)
                 out[row[hit].astype(np.int64) * self.size + column[hit]] = 1
                 on = (column >= 0) & ~hit
-                row, code, s = row[on], code[on], (s[on] + 1) & ((1 << SLOT_BITS) - 1)
+                row, code, s = row[on], code[on], (s[on] + 1) & ((1 << bits) - 1)
         return out.reshape(len(texts), self.size)
 
     def to_landmarks(self, texts: list[bytes]) -> np.ndarray:
@@ -146,16 +149,21 @@ class Kernel:
 
 def train(labelled: DataFrame, seed: int = 42) -> Kernel | None:
     """A kernel from the rows of labelled (text, lang); None if no text has a label and a letter."""
-    usable = labelled.where("lang is not null and text is not null").where(F.length("text") <= MAX_CHARS).where(F.col("text").rlike(r"\p{L}"))
-    rows = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), (F.length("text") <= MAX_CHARS).alias("short"))
+    short = F.count_if("short")
+    per_label = rows.groupBy("lang").agg(F.when(short > 0, short).otherwise(F.count("h")).alias("n"), (short == 0).alias("long"))
+    found = per_label.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = {r.lang: r.n for r in found}
     if not counts:
         return None
     # The hash's lowest part holds somewhat more than the sample of each language.
     share = {lang: min(1.0, 1.5 * PER_LANGUAGE / n + 50 / n) for lang, n in counts.items()}
     low = F.element_at(F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1))), F.col("lang"))
-    drawn = sorted((r.h, r.lang, r.text) for r in rows.where(F.col("lang").isin(list(counts)) & (F.col("h") <= low)).collect())
-    texts, labels, marks, taken = [], [], [], dict.fromkeys(counts, 0)
+    fit = F.col("short") | F.col("lang").isin([r.lang for r in found if r.long])
+    slice_ = F.when(F.col("short"), F.col("text")).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{MAX_CHARS - 1}}}", 0)).alias("text")
+    drawn = sorted((r.h, r.lang, r.text) for r in rows.where(F.col("lang").isin(list(counts)) & fit & (F.col("h") <= low)).select("h", "lang", slice_).collect())
+    texts, labels, marks, owners, taken = [], [], [], [], dict.fromkeys(counts, 0)
     for _, lang, text in drawn:
         if taken[lang] < PER_LANGUAGE:
             taken[lang] += 1
@@ -164,11 +172,17 @@ def train(labelled: DataFrame, seed: int = 42) -> Kernel | None:
             labels.append(lang)
             if taken[lang] <= LANDMARKS_PER_LANGUAGE:
                 marks.append(raw)
+                owners.append(lang)
+    few = [np.flatnonzero(np.array(owners) == lang) for lang in counts if taken[lang] < MIN_LANDMARKS]
     known = {}
     for n, row, code in grams(marks):
         pairs = np.unique(row.astype(np.uint64) << np.uint64(32) | code)
-        codes, times = np.unique((pairs & np.uint64(0xFFFF_FFFF)).astype(np.uint32), return_counts=True)
+        mark, code = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFF_FFFF)).astype(np.uint32)
+        codes, times = np.unique(code, return_counts=True)
         known[n] = codes[times >= min(MIN_LANDMARKS, len(marks))]
+        for own in few:
+            codes, times = np.unique(code[np.isin(mark, own)], return_counts=True)
+            known[n] = np.union1d(known[n], codes[times >= len(own)])
     kernel = Kernel(known)
     kernel.fit(marks, texts, labels)
     return kernel

@@ -87,6 +87,19 @@ def test_language(spark, docs):
     assert langid.classify(docs([]), kernel).count() == 0
 
 
+def test_rare_labels_and_labels_of_long_texts_are_learned(docs):
+    r = random.Random(5)
+    word = lambda first, n: "".join(chr(first + r.randrange(20)) for _ in range(n))
+    text = lambda first, n: " ".join(word(first, 5) for _ in range(n))
+    some = [(i, text(97, 60), "en") for i in range(60)] + [(100 + i, text(0x430, 60), "ru") for i in range(60)]
+    rare, long = [(200, text(0x10D0, 300), "ka")], [(300 + i, text(0x561, langid.MAX_CHARS // 5), "hy") for i in range(3)]
+    kernel = langid.train(docs(some + rare + long))
+    assert kernel.languages == ["en", "hy", "ka", "ru"]
+    asked = [(i, text(first, 300), "") for i, first in enumerate((97, 0x430, 0x10D0, 0x561))]
+    got = {x.doc_id: x.lang_pred for x in langid.classify(docs(asked), kernel).collect()}
+    assert [got[i] for i in range(4)] == ["en", "ru", "ka", "hy"]
+
+
 def brute_hits(texts, items):
     split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").encode().translate(LOWER).decode())
     windows = {}
