@@ -48,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, with as many underscores as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the
     lineage, survives lost executors, and is compressed, unlike a checkpoint."""

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -296,19 +297,51 @@ def test_exact_dedup(docs, monkeypatch, bits):
 
 
 def test_sharding(spark, docs, tmp_path):
-    df = docs([*((i, f"text {i % 50}") for i in range(500)), (None, None), (None, None), (3, "text 3")]).withColumnRenamed("lang", "rank")
+    df = docs([*((i, f"text {i % 50}") for i in range(500)), (None, None), (None, None), (3, "text 3"), *[(7, "again and again")] * 3000, (8, "long " * 40_000)]).withColumnsRenamed({"lang": "rank", "source": "hash", "n_chars": "perm"})
+    total = df.count()
     one = sharding.shuffle_into_shards(df, 7, bucket_rows=40)
     rows_ = one.collect()
-    assert one.columns == [*df.columns, "shard", "slot"] and len(rows_) == 503
+    assert one.columns == [*df.columns, "shard", "slot"] and len(rows_) == total
     sizes = Counter(r.shard for r in rows_)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 7
     for s in sizes:
         assert sorted(r.slot for r in rows_ if r.shard == s) == list(range(sizes[s]))
-    again = sharding.shuffle_into_shards(df.repartition(5), 7, bucket_rows=40).collect()
-    assert {(r.doc_id, r.shard) for r in rows_ if r.doc_id != 3} == {(r.doc_id, r.shard) for r in again if r.doc_id != 3}
+    # The copies of one record are dealt out like all others, and the order is not that of ids.
+    assert max(Counter(r.shard for r in rows_ if r.doc_id == 7).values()) < 3000 / 7 * 1.3
+    order = [r.doc_id for r in sorted(rows_, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None and r.doc_id not in (3, 7)]
+    assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.2
     sharding.write_shards(one, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 503
+    assert spark.read.parquet(str(tmp_path / "s")).count() == total
     assert sharding.shuffle_into_shards(docs([])).count() == 0
+    for n, row in ((1, 0), (3, 2)):
+        assert {r.slot for r in sharding.shuffle_into_shards(docs([(1, "x")] * n), 2).collect()} == set(range(row or 1))
+
+
+def test_shards_do_not_depend_on_partitions(spark, docs):
+    df = docs([*((i, f"text {i % 50}") for i in range(700)), (None, None), *[(7, "text 7")] * 50])
+    got, parts, aqe = [], spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for n, on, spread in ((1, "true", 1), (3, "false", 2), (8, "true", 7), (8, "false", 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", on)
+            got.append(sorted((r.shard, r.slot, r.doc_id or -1, r.text or "") for r in sharding.shuffle_into_shards(df.repartition(spread), 16, bucket_rows=20).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert all(g == got[0] for g in got)
+    assert [(r.shard, r.slot, r.doc_id) for r in sharding.shuffle_into_shards(df, 16, seed=7, bucket_rows=20).collect()] != [x[:3] for x in got[0]]
+
+
+def test_sharding_query(spark, docs, tmp_path):
+    df = docs([*((i, f"tëxt {i}") for i in range(40)), (None, None), (41, ""), (42, None)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    sizes = Counter(r.shard for r in got)
+    assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
 def test_secrets(docs):
