@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,38 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_by(rows: DataFrame, column: str, wanted: DataFrame, hash_column: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose 64-bit hash may be among the wanted ones, and the rest, of which none is.
+
+    A Bloom filter of one bit a hash, built and tested by SQL functions only: one
+    broadcast row of 2**16 to 2**26 bits (8 MB at most), 32 for each wanted hash
+    until that bound is met. What passes is joined with wanted, so a fuller filter
+    costs time only; the rest, most often nearly all rows, needs no shuffle.
+    """
+    bits = min(26, max(16, int(32 * max(wanted.count(), 1) - 1).bit_length()))
+    high = F.shiftrightunsigned(F.col(hash_column), 64 - bits)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hash_column}, {64 - bits}) & 63 as int))")
+    words = wanted.where(F.col(hash_column).isNotNull()).select(F.shiftright(high, 6).alias("id"), mask.alias("m")).groupBy("id").agg(F.bit_or("m").alias("m"))
+    every = rows.sparkSession.range(1 << (bits - 6)).join(words, "id", "left")
+    held = fresh(rows, "bits")
+    one = stored(every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("m", F.lit(0).cast("long")).alias("m"))))["m"].alias(held)))
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    may = F.coalesce(F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    both = rows.crossJoin(F.broadcast(one))  # one row of bounded size
+    return both.where(may).drop(held), both.where(~may).drop(held)
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about most bytes of a string or binary column, or a row if that has more."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,8 +1,8 @@
 """Removal of boilerplate lines that many sites share.
 
 A line's spread is the number of distinct sites (``source``) it stands on. Each
-line hash gets a HyperLogLog sketch of its sites; tasks sketch their own rows and
-the sketches merge by aggregation. Lines whose estimate is certain, by BAND
+line hash gets a HyperLogLog sketch of its sites; tasks sketch the lines that they
+read and the sketches merge by aggregation. Lines whose estimate is certain, by BAND
 relative errors, to lie above or below the threshold are decided by it; lines
 near the threshold get an exact count of distinct sites. Lines with a spread of
 at least ``min_sites`` are removed wherever they stand.
@@ -20,73 +20,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import fresh, read, split_by, stored
 
 MIN_SITES = 5
 #: A sketch of 2**LOG_K registers has a relative error of about 0.83 / 2**(LOG_K / 2).
 LOG_K = 10
 BAND = 5 * 0.83 / 2 ** (LOG_K / 2)
-SALTS = 16
+#: Fixed value: white space around a line.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.trim(line, F.lit(BLANK))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")
+
+
+def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, site, a, b): the hash (a, b) of every line that isn't blank."""
     each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    line = each.withColumn("line", _trimmed(F.col("line"))).where("line != ''")
-    return line.select("doc_id", "text_hash", "site", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-
-
-def spreads(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(a, b, exact): lines with at least min_sites sites; exact: decided by counting."""
-    lines = _lines(docs)
-    # A line on one site needs no sketch; the rest of this aggregation is a few longs a line.
-    ends = lines.groupBy("a", "b").agg(F.min(F.xxhash64("site")).alias("x"), F.max(F.xxhash64("site")).alias("y"))
-    several = stored(ends.where("x != y").select("a", "b"))
-    sites = stored(_near(lines, several).select("a", "b", "site").distinct())
-    # One row for each line and site: the sketches that merge have seen each site once.
-    sketched = sites.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"))
-    estimated = stored(sketched.select("a", "b", F.hll_sketch_estimate("sketch").alias("estimate")))
-    sure = estimated.where(F.col("estimate") >= min_sites * (1 + BAND)).select("a", "b", F.lit(False).alias("exact"))
-    near = estimated.where((F.col("estimate") < min_sites * (1 + BAND)) & (F.col("estimate") >= min_sites * (1 - BAND)))
-    counted = sites.join(near.select("a", "b"), ["a", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return sure.unionByName(counted.where(F.col("n") >= min_sites).select("a", "b", F.lit(True).alias("exact")))
+    return each.withColumn("line", _trimmed(F.col("line"))).where("line != ''").select("doc_id", "text_hash", "site", *_hashes(F.col("line")))
 
 
-def _near(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """lines joined to chosen line hashes; a frequent line's rows are dealt over SALTS partitions."""
-    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))
-    many = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return lines.withColumn("salt", salt).join(many, ["a", "b", "salt"]).drop("salt")
+def spreads(each: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(a, b, exact) of the lines (site, a, b) that stand on at least min_sites sites; exact: decided by counting."""
+    sketched = each.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"))
+    estimated = stored(sketched.select("a", "b", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - BAND)))
+    sure = estimated.where(F.col("estimate") >= min_sites * (1 + BAND)).select("a", "b", F.lit(False).alias("exact"))
+    near = estimated.where(F.col("estimate") < min_sites * (1 + BAND)).select("a", "b")
+    counted = each.select("a", "b", "site").join(near, ["a", "b"]).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return sure.unionByName(counted.where(F.col("n") >= min_sites).select("a", "b", F.lit(True).alias("exact")))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(doc_id, text_hash, gone): for each text, the first hash of each of its boilerplate lines."""
-    chosen = stored(spreads(docs, min_sites).select("a", "b"))
-    hit = _near(_lines(docs), chosen).select("doc_id", "text_hash", "a", "b").distinct()
-    return hit.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    """(doc_id, text_hash, gone): for each text, the hashes of its boilerplate lines.
+
+    Lines and chosen lines are stored, so that a join of both comes straight from
+    exchanges and Spark can split the partition of a frequent line.
+    """
+    each = stored(lines(docs))
+    chosen = stored(spreads(each, min_sites).select("a", "b"))
+    hit = each.select("doc_id", "text_hash", "a", "b").join(chosen, ["a", "b"])
+    return hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with ``text`` less its boilerplate lines, and n_lines and n_removed."""
+    """docs with ``text`` less its boilerplate lines, and n_lines and n_removed (such columns of docs are replaced).
+
+    Only texts that may have such a line meet the lists of them; the others stay where they are.
+    """
     docs = docs.drop("n_lines", "n_removed")
-    gone = boilerplate(docs, min_sites).withColumnsRenamed({"doc_id": "d__", "text_hash": "h__", "gone": "gone__"})
-    keyed = docs.withColumn("hash__", F.xxhash64("text"))
-    joined = keyed.join(gone, (F.col("hash__") == F.col("h__")) & F.col("doc_id").eqNullSafe(F.col("d__")), "left")
-    lines = F.split("text", "\n", -1)
+    columns = [f"`{c}`" for c in docs.columns]
+    hash_, d, h, gone, left = (fresh(docs, x) for x in ("hash", "d", "h", "gone", "left"))
+    found = stored(boilerplate(docs, min_sites))
+    some, rest = split_by(docs.withColumn(hash_, F.xxhash64("text")), hash_, found, "text_hash")
+    joined = some.join(found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("gone").alias(gone)), (F.col(hash_) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(d)), "left")
+    split = F.split("text", "\n", -1)
 
     def stays(line: Column) -> Column:
         t = _trimmed(line)
-        return ~F.array_contains("gone__", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))) | (t == "")
+        return (t == "") | ~F.array_contains(gone, F.struct(*_hashes(t)))
 
-    left = F.when(F.col("gone__").isNull(), lines).otherwise(F.filter(lines, stays))
-    n, m = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("left__"), F.lit(0))
-    parsed = joined.withColumn("left__", left)
-    counted = parsed.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("text").isNull(), 0).otherwise(n - m).cast("long")})
-    return counted.withColumn("text", F.array_join("left__", "\n")).select(*docs.columns, "n_lines", "n_removed")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    kept = joined.withColumn(left, F.when(F.col(gone).isNull(), split).otherwise(F.filter(split, stays))).withColumn("n_lines", n)
+    kept = kept.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(n - F.size(left)).cast("long"))
+    kept = kept.withColumn("text", F.array_join(left, "\n")).select(*columns, "n_lines", "n_removed")
+    return kept.unionByName(rest.withColumn("n_lines", n).withColumn("n_removed", F.lit(0).cast("long")).select(*columns, "n_lines", "n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,14 +140,34 @@ def test_decontamination(spark, docs):
 
 
 def test_line_dedup(docs):
-    lines = [(i, f"own line {i}\nlegal  notice \n\nshared by two", "en", f"s{i % 7}" if i != 3 else None) for i in range(14)] + [(20, None), (21, ""), (22, " legal  notice\n")]
-    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(clashing(docs(lines)).withColumnRenamed("row__", "source")).collect()}
-    assert got[0].text == "own line 0\n" and got[0].n_removed == 2 and got[0].n_lines == 4
-    assert got[20].text is None and got[20].n_lines == 0 and got[21].text == "" and got[22].text == "" and got[22].n_removed == 1
-    assert line_dedup.spreads(docs(lines)).where("exact").count() > 0 or line_dedup.spreads(docs(lines)).count() == 2
+    lines = [(i, f"own line {i}\nlegal  notice \n\nshared by two", "en", f"s{i % 7}" if i != 3 else None) for i in range(14)] + [(20, None), (21, ""), (22, " legal  notice\n"), (22, " legal  notice\n"), (23, "x " * 60_000 + "\n\tlegal  notice\r")]
+    for names in ({"n_chars": "hash__", "lang": "gone__"}, {"n_chars": "hash", "lang": "left"}, {"n_chars": "d", "lang": "h"}, {"n_chars": "bits", "lang": "n_lines"}):
+        given = docs(lines).withColumnsRenamed(names)
+        out = line_dedup.remove_boilerplate(given)
+        assert out.columns == [*(c for c in given.columns if c != "n_lines"), "n_lines", "n_removed"]
+        got = {r.doc_id: r for r in out.collect()}
+        assert out.count() == len(lines)
+        assert got[0].text == "own line 0\n" and got[0].n_removed == 2 and got[0].n_lines == 4
+        assert got[20].text is None and got[20].n_lines == 0 and got[21].text == "" and got[22].text == "" and got[22].n_removed == 1
+        assert got[23].text == "x " * 60_000 and got[23].n_removed == 1
+        kept = next(c for c in given.columns if c in names.values() and c != "n_lines")
+        assert sorted(map(str, (r[kept] for r in out.collect()))) == sorted(map(str, (r[kept] for r in given.collect())))
     assert line_dedup.remove_boilerplate(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("spread", [3, 5, 40])
+def test_line_spreads_equal_brute_force(docs, spread):
+    r = random.Random(spread)
+    rows_ = [(i, "\n".join(f"line {r.randrange(60)}" for _ in range(6)), "en", f"s{r.randrange(2 * spread)}") for i in range(300)]
+    sites = {}
+    for _, text, _, site in rows_:
+        for line in text.split("\n"):
+            sites.setdefault(line, set()).add(site)
+    gone = {k for k, v in sites.items() if len(v) >= spread}
+    got = {x.doc_id: x.text for x in line_dedup.remove_boilerplate(docs(rows_), spread).collect()}
+    assert got == {i: "\n".join(x for x in text.split("\n") if x not in gone) for i, text, _, _ in rows_}
+
+
 def test_context_tree_scores(spark, docs):
     r = random.Random(4)
     texts = [" ".join(r.choice(["the", "thing", "sang", "high", "Été"]) for _ in range(30)) for _ in range(80)]
