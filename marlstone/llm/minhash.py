@@ -40,10 +40,9 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, read, stored
+from .common import LOWER, fresh, parts_of, read, split_by, stored
 from .components import components
 
 HASHES = 128
@@ -207,32 +206,11 @@ def _plausible(threshold: int, a: str, b: str, na: str, nb: str) -> Column:
     return sizes & (_estimate(a, b) >= t - SIGMAS * error)
 
 
-def possibly(rows: DataFrame, column: str, wanted: DataFrame, hash_column: str) -> DataFrame:
-    """rows whose 64-bit hash may be among the wanted ones, by a Bloom filter of one bit a hash; no other is lost.
-
-    The filter is one broadcast row of 2**16 to 2**26 bits (8 MB at most), 32 for
-    each wanted hash until that bound is met; a join with wanted follows, so a
-    fuller filter costs time only.
-    """
-    spark = rows.sparkSession
-    bits = min(26, max(16, int(32 * max(wanted.count(), 1) - 1).bit_length()))
-    place = F.shiftrightunsigned(F.col(hash_column), 64 - bits)
-    words = wanted.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hash_column}, {64 - bits}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    table = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toArrow()
-    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    one = spark.createDataFrame(pa.table({"bits__": pa.array([table.tolist()], pa.list_(pa.int64()))}))
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    # One row of bounded size.
-    held = rows.crossJoin(F.broadcast(one)).where(F.getbit(F.get("bits__", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return held.drop("bits__")
-
-
 def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the classes in pairs (a, b), from one text of each."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(classes.join(nodes, "node").select("node", "rep.doc_id", "rep.text_hash"))
-    text = possibly(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text"), "h", needed, "text_hash")
+    text, _ = split_by(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text"), "h", needed, "text_hash")
     found = text.join(needed, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,13 +379,22 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) -> DataFrame:
-    """docs with one row of each component, the one with the least doc_id; columns as given."""
-    found = near_dups(docs, k, threshold, bands)
-    drop = found.where("not first").select(F.col("doc_id").alias("d__"), F.col("text_hash").alias("h__")).distinct()
-    keyed = docs.withColumn("hash__", F.xxhash64("text"))
-    left = keyed.join(drop, (F.col("hash__") == F.col("h__")) & F.col("doc_id").eqNullSafe(F.col("d__")), "left_anti")
-    # Rows that agree in doc_id and text are in one component, all of them first or none.
-    return left.drop("hash__").select(*docs.columns)
+    """docs with one row of each component, the one with the least doc_id, and rows with an empty set; columns as given.
+
+    Rows that agree in doc_id and text stand together, but for an empty set, and one of them stays. Only rows that
+    may go, by their hash, meet the list of those that do.
+    """
+    found = stored(near_dups(docs, k, threshold, bands))
+    keys = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("times"))
+    hash_, d, h, first = (fresh(docs, x) for x in ("hash", "d", "h", "first"))
+    asked = stored(keys.where("not first or times > 1").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("first").alias(first)))
+    columns = [f"`{c}`" for c in docs.columns]
+    some, rest = split_by(docs.withColumn(hash_, F.xxhash64("text")), hash_, asked, h)
+    met = some.join(asked, (F.col(hash_) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").where(F.coalesce(first, F.lit(True)))
+    # Only twins of a row that stays are made one; tasks do that for their own rows before any shuffle.
+    one = met.where(F.col(first).isNotNull()).dropDuplicates([d, h])
+    alone = met.where(F.col(first).isNull())
+    return rest.select(*columns).unionByName(alone.select(*columns)).unionByName(one.select(*columns))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,10 @@ def test_edge_cases(spark, docs):
     assert len(got) == 6
     assert {r.component_id for r in got if r.n_shingles == 3} == {3}
     assert {r.component_id for r in got if r.n_shingles == 0} == {None, 4}
-    clash = docs(rows).withColumnsRenamed({"n_chars": "node", "lang": "label", "source": "key"})
-    kept = minhash.dedup(clash)
-    assert kept.columns == clash.columns
-    assert sorted(r.text for r in kept.where("text is not null").collect()) == ["a b c d e f g", "a b c d e f g", "x" * 300_000]
+    for names in ({"n_chars": "node", "lang": "label", "source": "key"}, {"n_chars": "hash", "lang": "hash__", "source": "d"}, {"n_chars": "first", "lang": "h", "source": "bits"}):
+        clash = docs([*rows, (6, None), (6, None)]).withColumnsRenamed(names)
+        kept = minhash.dedup(clash)
+        assert kept.columns == clash.columns
+        # Of twins one stays; texts without words are linked with nothing.
+        assert sorted(r.text for r in kept.where("text is not null").collect()) == ["a b c d e f g", "x" * 300_000]
+        assert sorted(r.doc_id or 0 for r in kept.where("text is null").collect()) == [0, 4, 6, 6]
