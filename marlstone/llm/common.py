@@ -93,6 +93,22 @@ def split_by(rows: DataFrame, column: str, wanted: DataFrame, hash_column: str)
     return both.where(may).drop(held), both.where(~may).drop(held)
 
 
+def without(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs less the rows that asked (doc_id, text_hash, stays) names, each pair once, with the columns of docs.
+
+    Rows whose pair has ``stays`` false go; of rows whose pair has it true one stays. Only rows that may be asked
+    about, by their hash, move; twins are made one by tasks for their own rows before they do.
+    """
+    columns = [f"`{c}`" for c in docs.columns]
+    hash_, d, h, stays = (fresh(docs, x) for x in ("hash", "d", "h", "stays"))
+    asked = stored(asked.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("stays").alias(stays)))
+    some, rest = split_by(docs.withColumn(hash_, F.xxhash64("text")), hash_, asked, h)
+    met = some.join(asked, (F.col(hash_) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").where(F.coalesce(stays, F.lit(True)))
+    one = met.where(F.col(stays).isNotNull()).dropDuplicates([d, h])
+    alone = met.where(F.col(stays).isNull())
+    return rest.select(*columns).unionByName(alone.select(*columns)).unionByName(one.select(*columns))
+
+
 def parts_of(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about most bytes of a string or binary column, or a row if that has more."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

@@ -31,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import parts_of, read, stored, without
 
 K = 2
 SEGMENT_BITS = 16
+#: Bytes of text that are worked on at once.
+CHUNK = 4 << 20
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -64,9 +65,7 @@ def repeated_bits(docs: DataFrame, rows: int) -> tuple[Broadcast, int]:
     width = 1 << SEGMENT_BITS
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in parts_of(whole, 0, CHUNK)):
             p = _positions([digest(t) for t in batch.column(0).to_pylist()], bits)
             flat = np.sort((p + (np.arange(K) << bits)[:, None]).ravel())
             third = np.r_[False, False, flat[2:] == flat[:-2]] if len(flat) > 2 else np.zeros(len(flat), bool)
@@ -107,7 +106,7 @@ def hashed(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = table.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, at, CHUNK)):
             texts = batch.column(at).to_pylist()
             digests = [digest(t) for t in texts]
             p = _positions(digests, bits) + (np.arange(K) << bits)[:, None] if digests else np.zeros((K, 0), np.int64)
@@ -118,12 +117,6 @@ def hashed(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
     return given.mapInArrow(test, schema)
 
 
-def _best(doc_id: Column | str = "doc_id", chars: str = "chars__") -> Column:
-    """Least for the row that stays."""
-    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.struct((-F.col(chars)).alias("a"), c.isNull().alias("b"), c.alias("id"))
-
-
 def dedup_decisions(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = stored(hashed(docs.select("doc_id", "text"), ["doc_id"], docs.count()).withColumn("row__", F.monotonically_increasing_id()))
@@ -138,16 +131,18 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat another's text, with its own columns."""
-    columns = docs.columns
-    rows = hashed(docs, columns, docs.count())
-    single = rows.where("not maybe__").select(*columns)
-    maybe = rows.where("maybe__")
-    least = maybe.groupBy("sha__").agg(F.min(_best()).alias("best__"))
-    near = maybe.join(least, "sha__").where(_best() == F.col("best__"))
-    # Of rows that agree in text length and id as well, one stays; such ties are rare and the row number is over them only.
-    first = near.withColumn("n__", F.row_number().over(W.partitionBy("sha__").orderBy("doc_id"))).where("n__ = 1")
-    return single.unionByName(first.select(*columns))
+    """docs without the rows that repeat another's text, with its own columns.
+
+    Decided on rows without text; of the texts only those move that may go or that have a twin in doc_id and text.
+    """
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    maybe = hashed(narrow, ["doc_id", "text_hash"], docs.count()).where("maybe__")
+    # Stored, so that both sides of the join come straight from an exchange and Spark can split a hot group.
+    kinds = stored(maybe.groupBy("sha__", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"), F.max("chars__").alias("chars")))
+    best = F.struct((-F.col("chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    least = stored(kinds.groupBy("sha__").agg(F.min(best).alias("best")))
+    asked = kinds.join(least, "sha__").select("doc_id", "text_hash", (best == F.col("best")).alias("stays"), "times")
+    return without(docs, asked.where("not stays or times > 1"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, parts_of, read, split_by, stored
+from .common import LOWER, parts_of, read, split_by, stored, without
 from .components import components
 
 HASHES = 128
@@ -141,18 +141,6 @@ def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
     return _mixed((m * STEP[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * STEP[ROWS])
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size > CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(rows.ravel().view(np.int64)))
 
@@ -168,9 +156,8 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _parts(batch.column(2).to_pylist()):
-                sets = shingle_sets(part, k)
+            for part in parts_of(batch, 2, CHUNK):
+                sets = shingle_sets(part.column(2).to_pylist(), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig, keys = np.zeros((len(sets), HASHES * BITS // 64), np.uint64), np.zeros((len(sets), bands), np.uint64)
                 if full:
@@ -178,8 +165,7 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
                     sig[full], keys[full] = packed(m), band_keys(m, bands)
                 node = pa.array([_node(s) if len(s) else None for s in sets], pa.binary())
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), node, n, _lists(sig), _lists(keys)], schema.names)
-                at += len(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, n, _lists(sig), _lists(keys)], schema.names)
 
     return rows.mapInArrow(sign, schema)
 
@@ -215,10 +201,8 @@ def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Data
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _parts(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in shingle_sets(part, k)], pa.binary())], ["node", "shingles"])
-                at += len(part)
+            for part in parts_of(batch, 1, CHUNK):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)], pa.binary())], ["node", "shingles"])
 
     # Rows that agree in doc_id and text give a class's set more than once; what is made of it is made distinct later.
     return stored(found.mapInArrow(sets, "node binary, shingles binary"))
@@ -237,7 +221,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
     both = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 3, CHUNK)):
             rows = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
@@ -384,17 +368,9 @@ def dedup(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) ->
     Rows that agree in doc_id and text stand together, but for an empty set, and one of them stays. Only rows that
     may go, by their hash, meet the list of those that do.
     """
-    found = stored(near_dups(docs, k, threshold, bands))
-    keys = found.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.bool_or("first").alias("first"), F.count(F.lit(1)).alias("times"))
-    hash_, d, h, first = (fresh(docs, x) for x in ("hash", "d", "h", "first"))
-    asked = stored(keys.where("not first or times > 1").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("first").alias(first)))
-    columns = [f"`{c}`" for c in docs.columns]
-    some, rest = split_by(docs.withColumn(hash_, F.xxhash64("text")), hash_, asked, h)
-    met = some.join(asked, (F.col(hash_) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").where(F.coalesce(first, F.lit(True)))
-    # Only twins of a row that stays are made one; tasks do that for their own rows before any shuffle.
-    one = met.where(F.col(first).isNotNull()).dropDuplicates([d, h])
-    alone = met.where(F.col(first).isNull())
-    return rest.select(*columns).unionByName(alone.select(*columns)).unionByName(one.select(*columns))
+    found = near_dups(docs, k, threshold, bands).where("n_shingles > 0")
+    keys = found.groupBy("doc_id", "text_hash").agg(F.bool_or("first").alias("stays"), F.count(F.lit(1)).alias("times"))
+    return without(docs, keys.where("not stays or times > 1"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
