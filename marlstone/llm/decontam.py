@@ -7,9 +7,10 @@
 3. A posting less the word's place in the item is the place where the item would
    start: its diagonal. Lists adjusted in this way are intersected: a diagonal
    with two of the item's rare words stays.
-4. On the diagonals that stay, a document's words are compared with the item's,
-   which leaves exactly the windows that occur. ``near_matches`` returns places
-   where a window's two rarest words stand close together in any order.
+4. On the diagonals that stay, the document's words along the item are compared
+   with it, which leaves exactly the windows that occur: the exact matches.
+5. Postings of a window's rarest words that stand close together, in any order,
+   are proximity matches.
 
 Test items are small beside the corpus but not bounded: whether a join with them
 is broadcast is left to Spark's size threshold, and it shuffles beyond.
@@ -27,10 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, stored
+from .common import ascii_lower, read, split_by, stored, without
 
 WINDOW = 10
 RARE = 2
+#: Words that a window's rarest words may be apart in a proximity match.
+SLOP = 15
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -76,56 +79,74 @@ def diagonals(index: DataFrame, rare: DataFrame, items: DataFrame) -> DataFrame:
     return met.select("doc_id", "text_hash", "item", "diagonal")
 
 
-def near_matches(index: DataFrame, rare: DataFrame, slop: int = 15) -> DataFrame:
-    """(doc_id, item, start, pos): where a window's two rarest words stand at most slop words apart, in any order."""
-    first, second = (index.join(rare.where(F.col("rank") == r).select("term", "item", "start"), "term").select("doc_id", "text_hash", "item", "start", F.col("pos").alias(f"p{r}")) for r in (0, 1))
-    cell = F.floor(F.col("p1") / slop)
-    second = second.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).withColumnsRenamed({"doc_id": "d1", "text_hash": "h1", "item": "i1", "start": "s1"})
-    first = first.withColumn("cell0", F.floor(F.col("p0") / slop))
-    same = (F.col("text_hash") == F.col("h1")) & F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("item") == F.col("i1")) & (F.col("start") == F.col("s1")) & (F.col("cell0") == F.col("cell"))
-    close = first.join(second, same & (F.abs(F.col("p0") - F.col("p1")) <= slop) & (F.col("p0") != F.col("p1")))
-    return close.select("doc_id", "item", "start", F.least("p0", "p1").alias("pos")).distinct()
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with words__ (its words) and found__: array<struct<item_id, starts, width>> of the items with windows in it."""
+def near_matches(index: DataFrame, rare: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc_id, text_hash, item): proximity matches. A window's rarest words stand at most slop words apart, in any
+    order and whatever is between them; a window of one word is met by that word.
+
+    Postings of a document meet within cells of slop words, so a pair is made only of words that are near.
+    """
+    wide = rare.join(items.where(F.col("width") >= RARE).select("item"), "item")
+    first, second = (wide.where(F.col("rank") == r).select("item", "start", F.col("term").alias(f"t{r}")) for r in (0, 1))
+    pairs = first.join(second, ["item", "start"]).select("item", F.least("t0", "t1").alias("low"), F.greatest("t0", "t1").alias("high")).distinct()
+    cell = F.floor(F.col("pos") / slop)
+    left = index.join(wide.select("term").distinct(), "term").select("doc_id", "text_hash", cell.alias("cell"), F.col("pos").alias("p"), F.col("term").alias("t"))
+    right = left.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("c"), F.col("p").alias("q"), F.col("t").alias("u"))
+    same = (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("cell") == F.col("c"))
+    close = left.join(right, same & (F.col("q") > F.col("p")) & (F.col("q") - F.col("p") <= slop)).select("doc_id", "text_hash", F.least("t", "u").alias("low"), F.greatest("t", "u").alias("high")).distinct()
+    lone = rare.join(items.where(F.col("width") < RARE).select("item"), "item").select("term", "item").distinct()
+    return close.join(pairs, ["low", "high"]).select("doc_id", "text_hash", "item").unionByName(index.join(lone, "term").select("doc_id", "text_hash", "item")).distinct()
+
+
+def matches(docs: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item, starts, width): exact matches, the places in the document where windows of the item
+    occur. Only texts with a diagonal move; of each diagonal the stretch of words that lies along the item does."""
+    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
+    sized = lines.join(items.select("item", F.size("item_words").alias("n")), "item")
+    per_doc = stored(sized.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "diagonal", "n")).alias("lines")))
+    some, _ = split_by(keyed, "h", per_doc, "text_hash")
+    # Rows that agree in doc_id and text give the same matches; one of them is looked at.
+    met = some.join(per_doc, (F.col("h") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["doc_id", "text_hash"])
+
+    def stretch(w: Column) -> Column:
+        low = lambda x: F.greatest(F.lit(0), -x["diagonal"])
+        cut = lambda x: F.slice(w, x["diagonal"] + low(x) + 1, x["n"] - low(x))
+        return F.transform("lines", lambda x: F.struct(x["item"].alias("item"), x["diagonal"].alias("diagonal"), low(x).alias("low"), cut(x).alias("seen")))
+
+    once = F.get(F.transform(F.array(words(F.col("text"))), stretch), F.lit(0))
+    each = met.select("doc_id", "text_hash", F.explode(once).alias("x")).select("doc_id", "text_hash", "x.*").join(items.select("item", "item_words", "width"), "item")
+    last = F.size("seen") - F.col("width")
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    same = lambda s: F.slice("seen", s + 1, F.col("width")) == F.slice("item_words", F.col("low") + s + 1, F.col("width"))
+    starts = F.transform(F.filter(at, same), lambda s: s + F.col("low") + F.col("diagonal"))
+    return each.select("doc_id", "text_hash", "item", starts.alias("starts"), "width").where(F.size("starts") > 0)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, hits (positions of hit words), items (ids of items with exact matches,
+    sorted as strings), near (ids of items with proximity matches, which those with exact ones are among)."""
     items = test_items(benchmark, window)
     rare = rare_terms(docs, items)
-    lines = stored(diagonals(build_index(docs, rare), rare, items))
-    one = F.struct("item_id", "diagonal", "item_words", "width")
-    per_doc = lines.join(items, "item").groupBy("doc_id", "text_hash").agg(F.collect_list(one).alias("lines__")).withColumnsRenamed({"doc_id": "d__", "text_hash": "h__"})
-    keyed = docs.withColumn("hash__", F.xxhash64("text"))
-    joined = keyed.join(per_doc, (F.col("hash__") == F.col("h__")) & F.col("doc_id").eqNullSafe(F.col("d__")), "left").drop("hash__", "h__", "d__")
-
-    def occurring(line: Column) -> Column:
-        low, width = F.greatest(F.lit(0), -line["diagonal"]), line["width"]
-        high = F.least(F.size(line["item_words"]), F.size("words__") - line["diagonal"]) - width
-        at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        same = lambda s: F.slice(F.col("words__"), line["diagonal"] + s + 1, width) == F.slice(line["item_words"], s + 1, width)
-        starts = F.transform(F.filter(at, same), lambda s: s + line["diagonal"])
-        return F.struct(line["item_id"].alias("item_id"), starts.alias("starts"), width.alias("width"))
-
-    parsed = joined.withColumn("words__", words(F.col("text")))
-    found = F.filter(F.transform(F.coalesce("lines__", F.array()), occurring), lambda x: F.size(x["starts"]) > 0)
-    return parsed.withColumn("found__", F.when(F.col("lines__").isNotNull(), found)).drop("lines__")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, hits (positions of hit words), items (sorted as strings)."""
-    rows = with_hits(docs.select("doc_id", "text"), benchmark, window)
-    hit = F.flatten(F.transform("found__", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["width"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("found__", lambda x: x["item_id"].cast("string")), lambda i: i.isNotNull())))
-    return rows.select(
-        "doc_id",
-        F.size("words__").cast("long").alias("n_words"),
-        F.coalesce(F.array_distinct(hit), F.array().cast("array<int>")).alias("hits"),
-        F.coalesce(ids, F.array().cast("array<string>")).alias("items"),
-    )
+    index = build_index(docs, rare)
+    lines = stored(diagonals(index, rare, items))
+    ids = items.select("item", F.col("item_id").cast("string").alias("id"))
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    exact = stored(matches(docs, lines, items)).join(ids, "item")
+    hit = F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1))
+    found = exact.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.flatten(F.collect_list(hit)))).alias("hits"), listed("id").alias("items"))
+    near = near_matches(index, rare, items, slop).join(ids, "item").groupBy("doc_id", "text_hash").agg(listed("id").alias("near"))
+    both = stored(near.join(found, (near.text_hash == found.text_hash) & near.doc_id.eqNullSafe(found.doc_id), "full").select(F.coalesce(near.doc_id, found.doc_id).alias("d"), F.coalesce(near.text_hash, found.text_hash).alias("h"), "hits", "items", "near"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    joined = rows.join(both, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return joined.select("doc_id", "n_words", none("hits", "int"), none("items", "string"), none("near", "string"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, as they are."""
-    return with_hits(docs, benchmark, window).where(F.coalesce(F.size("found__"), F.lit(0)) <= 0).select(*docs.columns)
+    items = test_items(benchmark, window)
+    rare = rare_terms(docs, items)
+    lines = stored(diagonals(build_index(docs, rare), rare, items))
+    return without(docs, matches(docs, lines, items).select("doc_id", "text_hash").distinct().withColumn("stays", F.lit(False)))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,4 +158,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )

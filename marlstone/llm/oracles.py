@@ -13,10 +13,20 @@ dg AS (SELECT doc_id, s, width, array_to_string(w[s + 1:s + width], ' ') AS g
        FROM (SELECT doc_id, w, width, unnest(generate_series(0, len(w) - width)) AS s FROM dw, (SELECT DISTINCT width FROM bl) WHERE len(w) >= width)),
 m AS (SELECT doc_id, s, dg.width, item_id FROM dg JOIN bg ON dg.g = bg.g AND dg.width = bg.width),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + width - 1)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM dw),
+fr AS (SELECT term, count(*) AS n FROM dp GROUP BY term),
+ip AS (SELECT item_id, width, len(w) AS len, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM bl),
+st AS (SELECT item_id, width, unnest(generate_series(1, len(w) - width + 1)) AS s FROM bl),
+rk AS (SELECT item_id, s, width, ip.term, row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(n, 0), p) AS r
+       FROM st JOIN ip USING (item_id, width) LEFT JOIN fr ON fr.term = ip.term WHERE p BETWEEN s AND s + width - 1),
+pr AS (SELECT DISTINCT a.item_id, a.term AS t0, b.term AS t1 FROM rk a JOIN rk b ON a.item_id = b.item_id AND a.s = b.s AND a.r = 1 AND b.r = 2),
+nr AS (SELECT DISTINCT x.doc_id, item_id FROM pr JOIN dp x ON x.term = t0 JOIN dp y ON y.term = t1 AND y.doc_id = x.doc_id AND x.p <> y.p AND abs(x.p - y.p) <= 15
+       UNION SELECT doc_id, item_id FROM rk JOIN dp ON dp.term = rk.term WHERE width = 1),
+nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id LEFT JOIN nn ON dw.doc_id = nn.doc_id
 """
 
 _OP5 = r"""
