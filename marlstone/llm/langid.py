@@ -8,10 +8,13 @@ kernel ridge regression is fitted for each language against the rest. Both fold
 into one matrix, so scoring a batch is two products: presence by landmark, and
 landmark by language.
 
-Fitting uses a bounded sample of the labelled rows: PER_LANGUAGE texts of each of
-the MAX_LANGUAGES most frequent labels, none of over MAX_CHARS characters,
-chosen by a seeded hash; a label that only has longer texts gives as many
-characters of these, from the first letter on. Scoring takes every text whole.
+Fitting uses a bounded sample of the labelled rows, with the bounds as parameters
+of ``train``: of each label at most ``per_language`` texts, chosen by a seeded
+hash, of at most ``max_chars`` characters each and ``language_chars`` together;
+a label that only has longer texts gives slices of these, from the first letter
+on. No label is left out. Of these, at most ``landmarks`` in all, dealt evenly
+over the labels, but one of each at the least, are landmarks. Scoring takes every
+text whole.
 
 Prediction: ``und`` with score 0 if a text is null or has no letter, or if there
 is nothing to learn from; else the language of the largest output f (ties: first
@@ -22,21 +25,21 @@ doc_id. An empty table gives no rows. Columns other than text are carried by
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, read
+from .common import LOWER, crc_mod, parts_of, read
 
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 MAX_CHARS = 20_000
-LANDMARKS_PER_LANGUAGE = 40
+LANGUAGE_CHARS = 2_000_000
+LANDMARKS, LANDMARKS_PER_LANGUAGE = 2560, 40
 MIN_LANDMARKS = 3
 RIDGE = 1e-2
 NONE = "und"
@@ -44,10 +47,16 @@ SLOT_BITS = 19
 #: Bytes of text and rows that are worked on at once.
 CHUNK = 1 << 20
 ROWS = 512
-LETTER = re.compile(r"[^\W\d_]")
+#: Cells of a presence matrix that is worked on at once.
+CELLS = 1 << 25
 GOLD = np.uint32(0x9E37_79B1)
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's categories L, as ``\\p{L}`` has them."""
+    return any(map(str.isalpha, text))
+
+
 def _codes(flat: np.ndarray, n: int) -> np.ndarray:
     """The 32-bit code of the n bytes that start at each place; the first byte's bits tell lengths apart."""
     code = np.full(len(flat) - n + 1, 0, np.uint32)
@@ -75,6 +84,7 @@ class Kernel:
 
     def __init__(self, known: dict[int, np.ndarray]):
         self.size = sum(map(len, known.values()))
+        self.rows = max(1, min(ROWS, CELLS // max(self.size, 1)))
         self.slots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         at = 0
         for n, codes in known.items():
@@ -114,13 +124,16 @@ class Kernel:
         return (p @ self.landmarks) / own[:, None]
 
     def fit(self, marks: list[bytes], texts: list[bytes], labels: list[str]) -> None:
-        p = self.presence(marks).astype(np.float32)
-        self.landmarks = np.ascontiguousarray((p / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None]).T)
-        within = self.to_landmarks(marks).astype(float)
+        blocks = lambda texts: (texts[i : i + self.rows] for i in range(0, len(texts), self.rows))
+        self.landmarks = np.empty((self.size, len(marks)), np.float32)
+        for at, block in zip(range(0, len(marks), self.rows), blocks(marks)):
+            p = self.presence(block).astype(np.float32)
+            self.landmarks[:, at : at + len(block)] = (p / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None]).T
+        within = np.concatenate([self.to_landmarks(block) for block in blocks(marks)]).astype(float)
         values, vectors = np.linalg.eigh((within + within.T) / 2)
         ok = values > 1e-6 * values[-1]
         nystroem = vectors[:, ok] / np.sqrt(values[ok])
-        x = np.concatenate([self.to_landmarks(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]) @ nystroem
+        x = np.concatenate([self.to_landmarks(block) for block in blocks(texts)]) @ nystroem
         self.languages = sorted(set(labels))
         y = np.where(np.array(labels)[:, None] == np.array(self.languages)[None, :], 1.0, -1.0)
         middle, offset = x.mean(axis=0), y.mean(axis=0)
@@ -131,11 +144,11 @@ class Kernel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [NONE] * len(texts), np.zeros(len(texts))
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)]
         at = 0
         while at < len(some):
             part, size = [], 0
-            while at < len(some) and len(part) < ROWS and size < CHUNK:
+            while at < len(some) and len(part) < self.rows and size < CHUNK:
                 part.append(some[at])
                 size += len(texts[some[at]])
                 at += 1
@@ -147,33 +160,38 @@ class Kernel:
         return names, scores
 
 
-def train(labelled: DataFrame, seed: int = 42) -> Kernel | None:
+def train(labelled: DataFrame, seed: int = 42, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS, language_chars: int = LANGUAGE_CHARS, landmarks: int = LANDMARKS) -> Kernel | None:
     """A kernel from the rows of labelled (text, lang); None if no text has a label and a letter."""
     usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    rows = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), (F.length("text") <= MAX_CHARS).alias("short"))
+    rows = usable.select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), (F.length("text") <= max_chars).alias("short"))
     short = F.count_if("short")
     per_label = rows.groupBy("lang").agg(F.when(short > 0, short).otherwise(F.count("h")).alias("n"), (short == 0).alias("long"))
-    found = per_label.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    found = per_label.orderBy("lang").collect()  # a row for each label
     counts = {r.lang: r.n for r in found}
     if not counts:
         return None
     # The hash's lowest part holds somewhat more than the sample of each language.
-    share = {lang: min(1.0, 1.5 * PER_LANGUAGE / n + 50 / n) for lang, n in counts.items()}
-    low = F.element_at(F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int(-(2**63) + s * (2**64 - 1)) if s < 1 else 2**63 - 1))), F.col("lang"))
-    fit = F.col("short") | F.col("lang").isin([r.lang for r in found if r.long])
-    slice_ = F.when(F.col("short"), F.col("text")).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{MAX_CHARS - 1}}}", 0)).alias("text")
-    drawn = sorted((r.h, r.lang, r.text) for r in rows.where(F.col("lang").isin(list(counts)) & fit & (F.col("h") <= low)).select("h", "lang", slice_).collect())
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
+    low = F.when(share < 1, (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).cast("long")).otherwise(F.lit(2**63 - 1))
+    bounds = per_label.select("lang", "long", low.alias("low"))
+    slice_ = F.when(F.col("short"), F.col("text")).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)).alias("text")
+    near = rows.join(F.broadcast(bounds), "lang").where((F.col("short") | F.col("long")) & (F.col("h") <= F.col("low"))).select("h", "lang", slice_).dropDuplicates(["h", "lang"])
+    # A few hundred rows of each label are left, so no label makes a large partition here.
+    w = W.partitionBy("lang").orderBy("h")
+    before = F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    held = near.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("n", F.row_number().over(w)).where((F.col("n") <= per_language) & (F.col("before") < language_chars))
+    drawn = sorted((r.h, r.lang, r.text) for r in held.select("h", "lang", "text").collect())
+    marks_each = max(1, min(LANDMARKS_PER_LANGUAGE, landmarks // len(counts)))
     texts, labels, marks, owners, taken = [], [], [], [], dict.fromkeys(counts, 0)
     for _, lang, text in drawn:
-        if taken[lang] < PER_LANGUAGE:
-            taken[lang] += 1
-            raw = text.encode().translate(LOWER)
-            texts.append(raw)
-            labels.append(lang)
-            if taken[lang] <= LANDMARKS_PER_LANGUAGE:
-                marks.append(raw)
-                owners.append(lang)
-    few = [np.flatnonzero(np.array(owners) == lang) for lang in counts if taken[lang] < MIN_LANDMARKS]
+        taken[lang] += 1
+        raw = text.encode().translate(LOWER)
+        texts.append(raw)
+        labels.append(lang)
+        if taken[lang] <= marks_each:
+            marks.append(raw)
+            owners.append(lang)
+    few = [np.flatnonzero(np.array(owners) == lang) for lang in counts if min(taken[lang], marks_each) < MIN_LANDMARKS]
     known = {}
     for n, row, code in grams(marks):
         pairs = np.unique(row.astype(np.uint64) << np.uint64(32) | code)
@@ -188,17 +206,17 @@ def train(labelled: DataFrame, seed: int = 42) -> Kernel | None:
     return kernel
 
 
-def classify(docs: DataFrame, kernel: Kernel | None) -> DataFrame:
-    """docs with lang_pred and score (such columns of docs are replaced)."""
-    docs = docs.drop("lang_pred", "score")
+def classify(docs: DataFrame, kernel: Kernel | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, named by label and score (such columns of docs are replaced)."""
+    docs = docs.drop(label, score)
     if kernel is None:
-        return docs.withColumn("lang_pred", F.lit(NONE)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(label, F.lit(NONE)).withColumn(score, F.lit(0.0))
     given = docs.sparkSession.sparkContext.broadcast(kernel)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, at, CHUNK)):
             names, scores = given.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], schema.names)
 

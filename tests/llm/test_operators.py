@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import ctw, decontam, exact_dedup, langid, line_dedup, pieces, secrets, sharding, token_counts
 from marlstone.llm.common import LOWER
@@ -88,6 +90,51 @@ def test_language(spark, docs):
     assert langid.classify(docs([]), kernel).count() == 0
 
 
+def test_kernel_equals_dense_ridge(docs):
+    r = random.Random(7)
+    words = {"en": ["the", "and", "thing", "with", "where", "sheep"], "fr": ["le", "et", "dans", "quelle", "oiseau", "sheep"], "de": ["das", "und", "Ding", "mit", "wo", "thing"]}
+    some = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(3, 12))), lang) for i in range(150) for lang in [("en", "fr", "de")[i % 3]]]
+    df = docs(some)
+    kernel = langid.train(df)
+    order = [(x.text, x.lang) for x in df.select("text", "lang", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).dropDuplicates(["h"]).orderBy("h").collect()]
+    grams = lambda t: {b[i : i + n] for b in [t.encode().translate(LOWER)] for n in (2, 3, 4) for i in range(len(b) - n + 1)}
+    marks = [t for lang in ("en", "fr", "de") for t in [t for t, x in order if x == lang][:40]]
+    n = Counter(g for t in marks for g in grams(t))
+    held = lambda t: {g for g in grams(t) if n[g] >= 3}
+    k = lambda a, b: len(held(a) & held(b)) / math.sqrt(max(len(held(a)), 1) * max(len(held(b)), 1))
+    kmm = np.array([[k(a, b) for b in marks] for a in marks])
+    knm = np.array([[k(t, b) for b in marks] for t, _ in order])
+    values, vectors = np.linalg.eigh(kmm)
+    ok = values > 1e-6 * values[-1]
+    x = knm @ vectors[:, ok] / np.sqrt(values[ok])
+    names = sorted(words)
+    y = np.array([[1.0 if lang == z else -1.0 for z in names] for _, lang in order])
+    xc = x - x.mean(axis=0)
+    f = xc @ np.linalg.solve(xc.T @ xc + langid.RIDGE * len(x) * np.eye(x.shape[1]), xc.T @ (y - y.mean(axis=0))) + y.mean(axis=0)
+    got, scores = kernel.predict([t for t, _ in order])
+    assert got == [names[i] for i in f.argmax(axis=1)]
+    assert np.abs(scores - np.clip((f.max(axis=1) + 1) / 2, 0, 1)).max() < 1e-3
+    # A kernel of many n-grams works on fewer rows at once, with the same result.
+    kernel.rows = 3
+    assert np.allclose(kernel.predict([t for t, _ in order])[1], scores, atol=1e-5)
+
+
+def test_language_edges(docs):
+    some = [(i, ("the thing and where " if i % 2 else "le oiseau dans quelle ") * 3, ("fr", "en")[i % 2]) for i in range(40)]
+    kernel = langid.train(docs(some), per_language=10, language_chars=300)
+    odd = [(1, "½ ² ① Ⅷ"), (2, "ªº"), (3, "the thing"), (3, "the thing"), (4, None), (5, "ǅ"), (None, "\u200b_9")]
+    got = [(x.doc_id, x.lang_pred) for x in langid.classify(docs(odd), kernel).collect()]
+    letters = {i for i, t in odd if t and any(unicodedata.category(c)[0] == "L" for c in t)}
+    assert len(got) == len(odd) and {i for i, p in got if p != "und"} == letters
+    # Equal outputs go to the first label in order.
+    same = langid.train(docs([(i, "same words here", ("b", "a")[i % 2]) for i in range(20)]))
+    assert same.predict(["same words here"])[0] == ["a"]
+    out = langid.classify(docs(odd).withColumnRenamed("n_chars", "score"), kernel, "label", "sc").collect()
+    assert sorted(x.score for x in out) == sorted(len(t or "") for _, t in odd)
+    many = langid.train(docs([(i, f"{chr(0x4E00 + i % 90) * 3} word", f"l{i % 90:02d}") for i in range(180)]), landmarks=90)
+    assert len(many.languages) == 90 and many.landmarks.shape[1] == 90
+
+
 def test_rare_labels_and_labels_of_long_texts_are_learned(docs):
     r = random.Random(5)
     word = lambda first, n: "".join(chr(first + r.randrange(20)) for _ in range(n))
@@ -120,23 +167,42 @@ def brute_hits(texts, items):
     return out
 
 
+def brute_near(texts, items, slop=15):
+    split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").encode().translate(LOWER).decode())
+    n = Counter(w for t in texts for w in split(t))
+    out = [set() for _ in texts]
+    for i, t in items:
+        w = split(t)
+        width = min(10, len(w))
+        for s in range(len(w) - width + 1 if w else 0):
+            rarest = [x for _, _, x in sorted((n[w[k]], k, w[k]) for k in range(s, s + width))[:2]]
+            for found, text in zip(out, texts):
+                places = [[p for p, x in enumerate(split(text)) if x == r] for r in rarest]
+                if len(rarest) == 1 and places[0] or len(rarest) == 2 and any(p != q and abs(p - q) <= slop for p in places[0] for q in places[1]):
+                    found.add(str(i))
+    return [sorted(x) for x in out]
+
+
 def test_decontamination(spark, docs):
     r = random.Random(3)
     word = lambda: r.choice("a b c d e f g".split()) + r.choice(["", "x", "É"])
-    items = [(i, " ".join(word() for _ in range(r.choice([3, 10, 12, 25])))) for i in range(12)] + [(50, None), (51, "..."), (52, "a a a a a a a a a a a a"), (3, "one more of three")]
-    texts = [" ".join(word() for _ in range(60)) for _ in range(40)] + [None, "", "a " * 400]
+    items = [(i, " ".join(word() for _ in range(r.choice([3, 10, 12, 25])))) for i in range(12)] + [(50, None), (51, "..."), (52, "a a a a a a a a a a a a"), (3, "one more of three"), (53, "Lonely")]
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)] + [None, "", "a " * 400, "lonely", "of " + "pad " * 14 + "ONE", "of " + "pad " * 15 + "one"]
     texts += [f"{word()} {i[1].upper()} tail, {word()} {i[1][:-3]}" for i in items if i[1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: (x.n_words, sorted(x.hits), x["items"]) for x in decontam.contamination(docs(list(enumerate(texts))), bench).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_hits(texts, items)
-    df = docs(list(enumerate(texts))).withColumnsRenamed({"lang": "item", "source": "term", "n_chars": "pos"})
-    kept = decontam.decontaminate(df, bench)
-    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i, x in enumerate(brute_hits(texts, items)) if not x[1]}
+    got = {x.doc_id: x for x in decontam.contamination(docs(list(enumerate(texts))), bench).collect()}
+    assert [(got[i].n_words, sorted(got[i].hits), got[i]["items"]) for i in range(len(texts))] == brute_hits(texts, items)
+    assert [got[i].near for i in range(len(texts))] == brute_near(texts, items)
+    clean = {x for x, found in enumerate(brute_hits(texts, items)) if not found[1]}
+    for names in ({"lang": "item", "source": "term", "n_chars": "pos"}, {"lang": "hash__", "source": "words__", "n_chars": "stays"}, {"lang": "hash", "source": "d", "n_chars": "h"}):
+        df = docs(list(enumerate(texts))).withColumnsRenamed(names)
+        kept = decontam.decontaminate(df, bench)
+        assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(x) for x in df.collect() if x.doc_id in clean)
+    twins = docs([(1, items[1][1]), (1, items[1][1]), (None, items[1][1]), (None, "clean"), (2, "word " * 60_000 + items[1][1])])
+    assert [x.text for x in decontam.decontaminate(twins, bench).collect()] == ["clean"]
+    assert sorted(len(x.hits) > 0 for x in decontam.contamination(twins, bench).collect()) == [False, True, True, True, True]
     assert decontam.contamination(docs([]), bench).count() == 0
     assert decontam.decontaminate(df, bench.limit(0)).count() == len(texts)
-    index_items = decontam.test_items(bench)
-    rare = decontam.rare_terms(df, index_items)
-    assert decontam.near_matches(decontam.build_index(df, rare), rare).count() > 0
 
 
 def test_line_dedup(docs):
@@ -311,8 +377,12 @@ def test_exact_dedup(docs, monkeypatch, bits):
     for r in got:
         assert (r.keep_id, r.group_size) == (min(by_sha[r.text_sha256])[2], len(by_sha[r.text_sha256]))
     assert sum(r.kept for r in got) == len(groups)
-    kept = exact_dedup.dedup(df)
-    assert kept.columns == df.columns and kept.count() == len(groups)
+    for names in ({}, {"lang": "sha__", "source": "best__", "n_chars": "chars__"}, {"lang": "hash", "source": "d", "n_chars": "stays"}):
+        kept = exact_dedup.dedup(df.withColumnsRenamed(names))
+        assert kept.columns == df.withColumnsRenamed(names).columns
+        best = {k: min(v)[2] for k, v in groups.items()}
+        assert sorted((norm(x.text), str(x.doc_id)) for x in kept.collect()) == sorted((k, str(i)) for k, i in best.items())
+    assert exact_dedup.dedup(docs([(1, "y " * 90_000), (2, "y" * 90_000), (None, None), (None, None)])).count() == 2
     assert exact_dedup.dedup_decisions(docs([])).count() == 0
 
 
@@ -364,6 +434,33 @@ def test_sharding_query(spark, docs, tmp_path):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
+def _meets(query, grams):
+    if query is None:
+        return True
+    if query[0] == "gram":
+        return query[1] in grams
+    return (all if query[0] == "and" else any)(_meets(q, grams) for q in query[1])
+
+
+def test_trigram_queries_hold_for_every_match():
+    r = random.Random(6)
+    pieces_ = ["abc", "xy", "[ab]", "[^a]", "(foo|bar|ba)", "(?i:KeY)", "d?", "(ab)?", "z+", "q{3}", "(cd){1,2}", ".", "[a-z]*", "\\x20*", "(one|two[0-9]|three)", "^", "e{0,2}fgh"]
+    hit = asked = 0
+    for _ in range(400):
+        regex = "".join(r.choice(pieces_) for _ in range(r.randint(1, 6)))
+        query = secrets.trigram_query(regex)
+        asked += query is not None
+        for _ in range(20):
+            text = "".join(r.choice(["abc", "xy", "a", "b", "foo", "bar", "KEY", "key", "d", "zz", "qqq", "cd", "one", "two7", "three", "efgh", "fgh", " ", "É"]) for _ in range(r.randint(1, 9)))
+            low = text.encode().translate(LOWER).decode()
+            if re.search(regex, text):
+                hit += 1
+                assert _meets(query, {low[i : i + 3] for i in range(len(low) - 2)}), (regex, text, query)
+    assert hit > 500 and asked > 150
+    assert secrets.trigram_query("abcd|xbcd") == ("or", (("and", (("gram", "abc"), ("gram", "bcd"))), ("and", (("gram", "bcd"), ("gram", "xbc")))))
+    assert [secrets.trigram_query(x) for x in ("ab", "a.c", "[0-9a-f]+", "abc|x", "(abc)?")] == [None] * 5
+
+
 def test_secrets(docs):
     texts = [None, "", "no", 'Password = "abc/123=" token:abcde é secret: x api_key=ZZZZZZ', "AKIA" + "A" * 16 + " AKIAshort " + "f" * 24 + "g" + "0" * 23, "pass word " * 5000 + "APIKEY:'123456", "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.find_secrets(docs(list(enumerate(texts)))).collect()}
@@ -375,7 +472,14 @@ def test_secrets(docs):
         order = {"assign": 0, "access": 1, "hex": 2}
         assert [s for s in got[i] if s[0] in order] == sorted(base, key=lambda s: (s[1], order[s[0]]))
     assert [s[0] for s in got[6]] == ["pem", "github"] or {"pem", "github"} <= {s[0] for s in got[6]}
-    assert secrets.trigram_query(secrets.RULES[2].shape) is None
+    assert [r.kind for r in secrets.RULES if secrets.trigram_query(r.regex) is None] == ["hex"]
     assert secrets.find_secrets(docs([])).count() == 0
+    again = docs([(1, texts[3]), (1, texts[3]), (None, texts[3]), (None, None)]).withColumnsRenamed({"lang": "kinds", "source": "text_hash", "n_chars": "bits"})
+    assert sorted(len(r.found) for r in secrets.find_secrets(again).collect()) == [0, 2, 2, 2]
+    # More rules than a long has bits for, and none at all that asks for a trigram.
+    many = tuple(secrets.Rule(f"k{i}", f"w{i:03d}[a-z]+") for i in range(80))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.find_secrets(docs([(1, "w007abc w079z W001a"), (2, "w08")]), many).collect()}
+    assert got == {1: [("k7", 0, 7), ("k79", 8, 13)], 2: []}
+    assert [len(r.found) for r in secrets.find_secrets(docs([(1, "f" * 30)]), secrets.RULES[2:3]).collect()] == [1]
 
 
