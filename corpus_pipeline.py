@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import decontam, exact_dedup, langid, minhash, pieces
-from marlstone.llm.common import read, stored
+from marlstone.llm.common import fresh, read, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and texts without a letter. Learns from the labels of docs."""
     kernel = langid.train(docs.where(~langid.held_out()))
-    columns = docs.columns
     if kernel is None:  # nothing to learn from: no document is rejected for that
         return docs.where(docs.text.rlike(r"\p{L}"))
-    return langid.classify(docs, kernel).where(f"lang_pred != '{langid.NONE}'").select(*columns)
+    label, score = fresh(docs, "label"), fresh(docs, "score")
+    return langid.classify(docs, kernel, label, score).where(f"{label} != '{langid.NONE}'").drop(label, score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
