@@ -20,12 +20,13 @@ OVERFETCH, RAW_OVERFETCH = 5, 3
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, summaries: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, log: DataFrame | None = None, index: search.Bm25Index | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, summaries: DataFrame | None = None, mentions: DataFrame | None = None, edges: DataFrame | None = None, log: DataFrame | None = None, index: search.Bm25Index | None = None, reranker: providers.Reranker | None = None, writer: providers.Writer | None = None):
         """chunks (id, text, doc_type, doc_filename); vectors and summaries (id, embedding); mentions as in
         operators.entities; edges (src, dst, weight, type, chunks); log as in operators.evaluate; index: a
-        saved BM25 index, which a service should pass, as it is built anew for each search otherwise."""
+        saved BM25 index, built here otherwise; reranker and writer (a language model) have offline defaults."""
         self.spark, self.chunks, self.vectors, self.summaries, self.mentions, self.edges, self.log = spark, chunks, vectors, summaries, mentions, edges, log
         self.index = index or search.Bm25Index.build(chunks)
+        self.reranker, self.writer = reranker, writer
 
     def status(self) -> dict[str, bool]:
         return {name: getattr(self, name) is not None for name in ("chunks", "vectors", "summaries", "mentions", "edges", "log")}
@@ -58,10 +59,12 @@ class Engine:
         return q.select("*", qp.dates(query).alias("dates"), qp.statutes(query).alias("legal_acts"), qp.intent(query, F.size("names")).alias("intent"), qp.keywords(query, F.col("names")).alias("keywords"), qp.filters(query).alias("filters"))
 
     def retrieve(self, queries: DataFrame, k: int, keyword: str | None = None, doc_type: str | None = None) -> DataFrame:
-        """Fused hits of queries (qid, query[, embedding])."""
-        lists = {"sparse": self.index.search(queries.select("qid", "query"), SPARSE_K)}
+        """Fused hits of queries (qid, query[, embedding[, hyde]]); hyde, the vector of a hypothetical passage, stands in
+        for the query's in the dense list where it is given."""
+        lists = {"sparse": search.long_hits(self.index.search(queries.select("qid", "query"), SPARSE_K), self.chunks)}
         if self.vectors is not None and "embedding" in queries.columns:
-            lists = {"dense": search.dense_topk(self.vectors, queries, DENSE_K)} | lists
+            asked = queries.withColumn("embedding", F.coalesce("hyde", "embedding")) if "hyde" in queries.columns else queries
+            lists = {"dense": search.dense_topk(self.vectors, asked, DENSE_K)} | lists
         if self.summaries is not None and "embedding" in queries.columns:
             lists["summary"] = search.dense_topk(self.summaries, queries, SUMMARY_K)
         if self.mentions is not None:
@@ -81,7 +84,7 @@ class Engine:
             hits = scoring.score(hits, scoring.entity_components(hits, self.mentions, asked), None, more)
             score = "composite_score"
         ranked = search.top_k(hits, k * OVERFETCH, score)
-        return providers.rerank(ranked.join(queries.select("qid", "query"), "qid"), k)
+        return providers.rerank(ranked.join(queries.select("qid", "query"), "qid"), k, self.reranker)
 
     def chat(self, queries: DataFrame, mode: str = "answer", k: int = TOP_K) -> DataFrame:
         """(qid, answer, confidence, is_grounded, warning, n_citations); mode: answer, raw or evidence."""
@@ -93,6 +96,10 @@ class Engine:
         context = compress.compress(hits.select("qid", F.col("rank").cast("long").alias("chunk"), "query", "text"))
         numbered = context.select("qid", (F.col("chunk") + 1).cast("int").alias("rank"), "text", F.col("chunk").alias("id"))
         answers = generation.extractive_answer(numbered)
+        if self.writer is not None:
+            named = numbered.withColumns({"doc_filename": F.concat(F.lit("source "), F.col("rank").cast("string")), "retrieval_sources": F.array().cast("array<string>")})
+            asked = generation.sources_text(named).join(queries.select("qid", "query"), "qid")
+            answers = providers.answers(asked.select("qid", generation.qa_prompt(F.col("sources"), F.col("query")).alias("prompt")), answers, self.writer)
         return answers.join(generation.grounding(answers, numbered), "qid")
 
     # Intelligence
@@ -102,7 +109,8 @@ class Engine:
         return evidence.chains(paths, self.mentions, self.chunks)
 
     def entity(self, name: str) -> DataFrame:
-        return entities.profile(self.mentions, name)
+        """The profile of the name, or of the one most like it."""
+        return entities.profile(self.mentions, entities.resolved(self.mentions, name) or name)
 
     def path(self, a: str, b: str, cutoff: int = graph.MAX_HOPS) -> DataFrame:
         return graph.simple_paths(self.edges, a, b, cutoff, 10)
@@ -146,6 +154,9 @@ class Engine:
     def graph_data(self) -> tuple[DataFrame, DataFrame]:
         return graph.export(graph.build_nodes(self.mentions), self.edges)
 
+    def communities(self, resolution: float = 1.0) -> DataFrame:
+        return graph.communities(self.edges, resolution)
+
     # Evaluation and metrics
     def evaluate(self, benchmark: DataFrame, k: int = TOP_K) -> DataFrame:
         """Means by category and over all, of benchmark (qid, query, category, expected_keywords)."""

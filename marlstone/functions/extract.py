@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import YEAR
@@ -53,20 +54,29 @@ def extract(chunks: DataFrame, key: str = "id", text: str = "text", labels: tupl
     return chunks.select(key, F.explode(each).alias("m")).select(key, "m.label", "m.name")
 
 
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<name, start, end>> of a pattern's matches, in code points: the lengths of the matches and of what
+    lies between them give the places."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    each = F.arrays_zip(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("name"))
+    none = F.array().cast("array<struct<name:string,start:int,end:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["name"])
+        one = F.struct(x["name"].alias("name"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+
+    walked = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(F.size(found) > 0, walked).otherwise(none)
+
+
 def with_offsets(chunks: DataFrame, key: str = "id", text: str = "text", labels: tuple[str, ...] = DEFAULT_LABELS) -> DataFrame:
-    """(key, label, name, start, end) in code points; the lengths of what lies between matches give the places."""
-    parts = None
-    t = F.coalesce(F.col(text), F.lit(""))
-    for label in labels:
-        for p in PATTERNS[label]:
-            found = F.regexp_extract_all(t, F.lit(p), F.lit(0))
-            gaps = F.split(t, p, -1)
-            rows = chunks.select(key, F.posexplode(found).alias("i", "name"), gaps.alias("gaps"), found.alias("found"))
-            size = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda acc, s: acc + F.length(s))
-            start = size(F.col("gaps"), F.col("i") + 1) + size(F.col("found"), F.col("i"))
-            one = rows.select(key, F.lit(label).alias("label"), "name", start.alias("start"), (start + F.length("name")).alias("end"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """(key, label, name, start, end) in code points, in one scan."""
+    tagged = lambda x, p: F.transform(places(F.col(text), p), lambda m: F.struct(F.lit(x).alias("label"), m["name"].alias("name"), m["start"].alias("start"), m["end"].alias("end")))
+    spans = F.concat(*(tagged(x, p) for x in labels for p in PATTERNS[x]))
+    return chunks.select(key, F.explode(spans).alias("m")).select(key, "m.label", "m.name", "m.start", "m.end")
 
 
 def structured(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -89,15 +99,14 @@ def relation_hints(text: Column, around: int = 20) -> Column:
     t = F.coalesce(text, F.lit(""))
     parts = []
     for kind, p in RELATIONS.items():
-        whole, a, b = (F.regexp_extract_all(t, F.lit(p), F.lit(i)) for i in range(3))
+        a, b = (F.regexp_extract_all(t, F.lit(p), F.lit(i)) for i in (1, 2))
 
         def hint(x: Column) -> Column:
-            at = F.instr(t, x["w"])
-            low = F.greatest(at - around, F.lit(1))
-            evidence = F.substring(t, low, at - low + F.length(x["w"]) + around)
+            low = F.greatest(x["m"]["start"] - around, F.lit(0))
+            evidence = F.substring(t, low + 1, x["m"]["end"] + around - low)
             return F.struct(x["a"].alias("entity1"), x["b"].alias("entity2"), evidence.alias("evidence"))
 
-        hints = F.transform(F.arrays_zip(whole.alias("w"), a.alias("a"), b.alias("b")), hint)
+        hints = F.transform(F.arrays_zip(places(t, p).alias("m"), a.alias("a"), b.alias("b")), hint)
         parts.append(F.transform(hints, _typed(kind)))
     return F.flatten(F.array(*parts))
 
@@ -106,11 +115,20 @@ def _typed(kind: str):
     return lambda h: F.struct(h["entity1"].alias("entity1"), h["entity2"].alias("entity2"), F.lit(kind).alias("type"), h["evidence"].alias("evidence"))
 
 
-def aggregate_names(mentions_: DataFrame) -> DataFrame:
-    """(name, label, count, sources, chunk_ids) of (name, label, source, chunk_id, ord); the label seen first wins."""
-    return mentions_.groupBy("name").agg(
-        F.min_by("label", "ord").alias("label"),
-        F.count(F.lit(1)).alias("count"),
-        F.sort_array(F.collect_set("source")).alias("sources"),
-        F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"),
-    )
+def aggregate_names(mentions_: DataFrame, most: int = 1000) -> DataFrame:
+    """(name, label, count, sources, chunk_ids) of (name, label, source, chunk_id, ord); the label seen first wins.
+
+    The lists have the ``most`` least of a name's sources and chunks, so that a frequent name is no unbounded row.
+    """
+    out = mentions_.groupBy("name").agg(F.min_by("label", "ord").alias("label"), F.count(F.lit(1)).alias("count"))
+    for column, to in (("source", "sources"), ("chunk_id", "chunk_ids")):
+        out = out.join(least_of(mentions_, ["name"], column, to, most), "name", "left").withColumn(to, F.coalesce(to, F.array().cast(mentions_.select(F.array(column)).schema[0].dataType)))
+    return out
+
+
+def least_of(rows: DataFrame, keys: list[str], column: str, to: str, most: int) -> DataFrame:
+    """keys and ``to``: the sorted ``most`` least distinct values of column for each key. Values are ranked and cut before they are gathered."""
+    w = W.partitionBy(*keys).orderBy(column)
+    distinct = rows.select(*keys, column).where(F.col(column).isNotNull()).distinct()
+    first = distinct.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= most)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(to))

@@ -14,8 +14,9 @@ INTENT_WORDS = {
     "timeline": ("timeline", "chronolog", "when did", "history of", "over time"),
 }
 STOPWORDS = (
-    "the a an is was were are in on at to for of with and or but who what when where how did do about between from"
-).split()
+    "the", "a", "an", "is", "was", "were", "are", "in", "on", "at", "to", "for", "of", "with", "and", "or", "but",
+    "who", "what", "when", "where", "how", "did", "do", "about", "between", "from",
+)
 LEGAL = r"(?i)\b(?:Title\s+\d+|Section\s+\d+[a-z]?|§\s*\d+|U\.?S\.?C\.?\s*§?\s*\d+)\b"
 YEAR_HINT = r"(?i)\b(?:from|in|during|year)\s*(\d{4})\b"
 YEAR_RANGE = r"\b(\d{4})\s*(?:to|-)\s*(\d{4})\b"

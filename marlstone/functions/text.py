@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of more than one character; punctuation separates. Repeats are kept."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
-    return F.filter(F.split(spaced, r"(?U)\s+"), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w{2,}"), F.lit(0))
 
 
 def words3(text: Column) -> Column:
@@ -17,8 +16,12 @@ def words3(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w{3,}\b"), F.lit(0)))
 
 
+#: Fixed value: white space at a text's ends.
+BLANK = " \t\n\x0b\x0c\r"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(BLANK))
 
 
 # The formatting noise that cleaning replaces, in order.
@@ -58,12 +61,22 @@ def cleaned(text: Column) -> Column:
     return F.when(F.length(stripped(text)) < 10, text).otherwise(out)
 
 
+def clean_batch(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with cleaned texts, original_length and cleaned_length; rows whose text is empty then go."""
+    out = docs.withColumn("original_length", F.length(F.coalesce(text, F.lit("")))).withColumn(text, cleaned(F.coalesce(text, F.lit(""))))
+    return out.withColumn("cleaned_length", F.length(text)).where("cleaned_length > 0")
+
+
 def is_corrupted(text: Column) -> Column:
     """Too short, hardly any letters or digits, or hardly any distinct characters."""
-    s = stripped(F.coalesce(text, F.lit("")))
-    good = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\s]", ""))
-    kinds = F.size(F.array_distinct(F.filter(F.split(s, ""), lambda c: ~c.rlike(r"^\s*$"))))
-    return (F.length(s) < 50) | (good / F.length(s) < 0.3) | (kinds < 3)
+    rest = lambda t: F.replace(t, F.substring(t, 1, 1), F.lit(""))  # noqa: E731  without its first character
+    few = lambda t: once(rest(t), lambda u: rest(u) == "")
+
+    def bad(s: Column) -> Column:
+        good = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\s]+", ""))
+        return (F.length(s) < 50) | (good / F.length(s) < 0.3) | once(F.regexp_replace(s, r"\s+", ""), few)
+
+    return once(stripped(F.coalesce(text, F.lit(""))), bad)
 
 
 def once(value: Column, f) -> Column:
@@ -129,25 +142,38 @@ DOC_ID = (r"(HOUSE_OVERSIGHT_\d+)", r"(GM_\d+)", r"(DOJ_\d+)", r"(FBI_\d+)", r"(
 DOC_ID_DEFAULT = "Document"
 
 
-def doc_reference(text: Column, patterns: tuple[str, ...] = DOC_ID) -> Column:
+def doc_reference(text: Column, prefixes: tuple[str, ...] = ()) -> Column:
+    """The first reference by priority; prefixes: further ones of the form PREFIX_123, tried before the general pattern."""
+    patterns = [*DOC_ID[:-1], *(rf"({p}_\d+)" for p in prefixes), DOC_ID[-1]]
     found = [F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), p, 1), F.lit("")) for p in patterns]
     return F.coalesce(*found, F.lit(DOC_ID_DEFAULT))
 
 
-# What a raw view of scanned text leaves out, in order.
+# What a raw view of scanned text leaves out, in order: time stamps and line numbers, garbage of margins,
+# notes of the scan (any case), references at the end, links, and page numbers.
 RAW_NOISE = (
     r"\d{2}:\d{2}:\d{2}\s*",
-    r"(?m)^\s*\d{1,2}\s*$",
-    r"(?m)^\s*\d{1,2}\s+(?=[A-Z])",
+    r"(?md)^\s*\d{1,2}\s*$",
+    r"(?md)^\s*\d{1,2}\s+(?=[A-Z])",
+    r"Oo O DN OO FF WwW NY =\|",
+    r"NO RO PO PNP NM NO \| S\| S\| HS SF S\| S\| S\| S\| S\|",
+    r"non BP WO NO -\|- ODO OO WDN OO OT BP WO NYO —",
+    r"(?d)On Oa bh .*?\d+",
     r"O[nN]\s*O[aA]\s*[bB][hH]\s*[wW][hH]\s*=",
     r"[oO][rR]\d{4}\s*\d+",
+    r"\d{2}:\d{2}:\d{2}\s+\d{1,2}\b",
     r"(?i)ROUGH DRAFT ONLY",
+    r"(?i)ESQUIRE DEPOSITION SOLUTIONS",
+    r"(954) 331-4400",
     r"(?i)Page \d+ to \d+ of \d+",
     r"(?i)\d+ of \d+ sheets",
+    r"\n\s*HOUSE_OVERSIGHT_\d+\s*$",
+    r"\n\s*GM_\d+\s*$",
     r'"\s*$',
     r"https?://\S+",
     r"http:/\S+",
-    r"(?m)^\s*\d{2,3}\s*$",
+    r"(?md)^\s*\d{2,3}\s*$",
+    r"(?md)^\d{2}:\d{2}:\d{2}\s+\d+\s+",
 )
 
 
@@ -156,7 +182,7 @@ def raw_view(text: Column) -> Column:
     for p in RAW_NOISE:
         text = F.regexp_replace(text, p, "")
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), " {2,}", " ")
-    return stripped(F.regexp_replace(text, r"(?m)^[^\S\n]+|[^\S\n]+$", ""))
+    return stripped(F.regexp_replace(text, r"(?md)^[^\S\n]+|[^\S\n]+$", ""))
 
 
 def title_name(name: Column, aliases: dict[str, str] | None = None) -> Column:

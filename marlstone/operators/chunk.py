@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,17 +64,15 @@ def pack(text: str, size: int, overlap: int = OVERLAP) -> list[tuple[int, int]]:
 
 def force_split(text: str, size: int, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Spans of at most size that end at a sentence in their second half if there is one; the last ends the text."""
-    spans, at = [], 0
-    while True:
-        end = min(at + size, len(text))
-        if end < len(text):
-            stop = text.rfind(". ", at + size // 2, end)
-            if stop > 0:
-                end = stop + 1
-        spans.append((at, end))
-        if end == len(text):
-            return spans
-        at = max(at + 1, end - overlap)
+    stops = [m.end() for m in re.finditer(r"\.(?= )", text)]
+    bounds = [0]  # starts and ends in turn
+    while bounds[-1] + size < len(text):
+        start = bounds[-1]
+        last = bisect_left(stops, start + size) - 1
+        end = stops[last] if last >= 0 and stops[last] > start + size // 2 else start + size
+        bounds += [end, max(start + 1, end - overlap)]
+    bounds.append(len(text))
+    return list(zip(bounds[::2], bounds[1::2]))
 
 
 def chunk_corpus(docs: DataFrame) -> DataFrame:

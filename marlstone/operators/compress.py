@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +21,9 @@ def scored_sentences(chunks: DataFrame) -> DataFrame:
     """(qid, chunk, pos, sentence, score) of chunks (qid, chunk, query, text)."""
     q = tx.words3(F.col("query"))
     rows = chunks.select("qid", "chunk", q.alias("q"), F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    shared = F.size(F.array_intersect("q", tx.words3(F.col("sentence")))) / F.greatest(F.size("q"), F.lit(1))
-    capital = F.size(F.regexp_extract_all("sentence", F.lit(r"\b[A-Z][a-z]+"), F.lit(0)))
+    rows = rows.withColumn("words", tx.words3(F.col("sentence"))).where(F.size("words") > 0)
+    shared = F.size(F.array_intersect("q", "words")) / F.greatest(F.size("q"), F.lit(1))
+    capital = F.regexp_count("sentence", F.lit(r"(?<!\S)\p{Lu}"))
     digits = F.col("sentence").rlike(r"\d{4}").cast("int")
     return rows.select("qid", "chunk", "pos", "sentence", (shared + 0.05 * capital + 0.1 * digits).alias("score"))
 
@@ -56,18 +58,19 @@ def mmr(chunks: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
         if len(pdf) > 3:
-            words = [set(re.findall(r"\b\w{3,}\b", t.lower())) for t in pdf["text"]]
-            left, chosen = list(range(len(pdf))), []
-            while left:
-                best, value = left[0], float("-inf")
-                for i in left:
-                    like = max((len(words[i] & words[j]) / max(len(words[i] | words[j]), 1) for j in chosen), default=0.0)
-                    v = LAMBDA * pdf["relevance"][i] - (1 - LAMBDA) * like
-                    if v > value:
-                        best, value = i, v
-                chosen.append(best)
-                left.remove(best)
-            pdf = pdf.iloc[chosen].reset_index(drop=True)
+            sets = [set(re.findall(r"\w{3,}", t.lower())) for t in pdf["text"]]
+            number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+            held = np.zeros((len(pdf), len(number) + 1), np.float32)
+            for row, words in zip(held, sets):
+                row[[number[w] for w in words]] = 1
+            common, sizes = held @ held.T, held.sum(axis=1)
+            jaccard = common / np.maximum(sizes[:, None] + sizes - common, 1)
+            order, worth, nearest = [], LAMBDA * pdf["relevance"].to_numpy(float), np.zeros(len(pdf))
+            for _ in range(len(pdf)):
+                order.append(int(np.argmax(worth - (1 - LAMBDA) * nearest)))
+                worth[order[-1]] = -np.inf
+                nearest = np.maximum(nearest, jaccard[order[-1]])
+            pdf = pdf.iloc[order].reset_index(drop=True)
         return pdf.assign(chunk=range(len(pdf)))
 
     return chunks.groupBy("qid").applyInPandas(run, chunks.schema)
@@ -84,9 +87,10 @@ def trim(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def compress(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(qid, chunk, text) of chunks (qid, chunk, query, text) after all steps."""
-    s = scored_sentences(chunks)
-    kept = first_occurrences(best_sentences(s))
-    relevance = kept.groupBy("qid", "chunk").agg(F.avg("score").alias("relevance"))
-    rows = joined(kept).join(relevance, ["qid", "chunk"]).join(chunks.select("qid", "chunk", "query"), ["qid", "chunk"])
-    return trim(mmr(rows.select("qid", F.col("chunk").cast("long").alias("chunk"), "query", "text", "relevance")), budget).select("qid", "chunk", "text")
+    """(qid, chunk, text) of chunks (qid, chunk, query, text) after all steps; what is left of a chunk must have over
+    REPEAT characters, and its relevance is the share of the query's words in it."""
+    kept = joined(first_occurrences(best_sentences(scored_sentences(chunks)))).where(F.length(tx.stripped(F.col("text"))) > REPEAT)
+    asked = chunks.select("qid", "chunk", "query", tx.words3(F.col("query")).alias("q"))
+    rows = kept.join(asked, ["qid", "chunk"])
+    relevance = F.size(F.array_intersect("q", tx.words3(F.col("text")))) / F.greatest(F.size("q"), F.lit(1))
+    return trim(mmr(rows.select("qid", F.col("chunk").cast("long").alias("chunk"), "query", "text", relevance.alias("relevance"))), budget).select("qid", "chunk", "text")

@@ -17,9 +17,10 @@ def corrupted(docs: DataFrame) -> DataFrame:
 
 
 def exact(docs: DataFrame, key: str = "id") -> DataFrame:
-    """The first row of each text by key."""
-    first = docs.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).agg(F.min(key).alias(key))
-    return docs.join(first.select(key), key, "left_semi")
+    """The first row of each text by key. Rows that agree in text and key are one row."""
+    hashed = docs.withColumn("h__", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    first = hashed.groupBy("h__").agg(F.min(key).alias(key))
+    return hashed.join(first, ["h__", key], "left_semi").dropDuplicates(["h__", key]).drop("h__")
 
 
 def near_pairs(docs: DataFrame, key: str = "id") -> DataFrame:

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from marlstone.functions.extract import least_of
 
 # Mentions an entity needs for co-occurrence, partners kept, and the weights of entity retrieval.
 MIN_MENTIONS, TOP_PARTNERS = 3, 20
 OVERLAP_WEIGHT, COUNT_WEIGHT, PRIMARY_BOOST = 0.6, 0.4, 1.5
 
 
-def entity_index(mentions: DataFrame) -> DataFrame:
-    """(name, type of the first mention, count, chunk_ids, source_docs, dates)."""
-    return mentions.groupBy("name").agg(
-        F.min_by("type", "ord").alias("type"),
-        F.count(F.lit(1)).alias("count"),
-        F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"),
-        F.sort_array(F.collect_set("doc_id")).alias("source_docs"),
-        F.sort_array(F.collect_set("year")).alias("dates"),
-    )
+#: Least values of each list that an index row holds.
+LISTED = 100_000
+
+
+def entity_index(mentions: DataFrame, most: int = LISTED) -> DataFrame:
+    """(name, type of the first mention, count, chunk_ids, source_docs, dates); lists are sorted and hold the ``most`` least values."""
+    out = mentions.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.count(F.lit(1)).alias("count"))
+    for column, to in (("chunk_id", "chunk_ids"), ("doc_id", "source_docs"), ("year", "dates")):
+        empty = F.array().cast(mentions.select(F.array(column)).schema[0].dataType)
+        out = out.join(least_of(mentions, ["name"], column, to, most), "name", "left").withColumn(to, F.coalesce(to, empty))
+    return out
 
 
 def counts(mentions: DataFrame) -> DataFrame:
-    """(name, type, count, n_chunks, n_docs) without lists."""
-    return mentions.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.count(F.lit(1)).alias("count"), F.count_distinct("chunk_id").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
+    """(name, type, count, n_chunks, n_docs) without lists. Chunks and documents are made distinct apart, by name and
+    id, so no name is a hot key and no row is expanded."""
+    out = mentions.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.count(F.lit(1)).alias("count"))
+    for column, to in (("chunk_id", "n_chunks"), ("doc_id", "n_docs")):
+        out = out.join(mentions.select("name", column).distinct().groupBy("name").agg(F.count(column).alias(to)), "name")
+    return out
 
 
 def frequent(mentions: DataFrame, least: int = MIN_MENTIONS) -> DataFrame:
@@ -97,6 +106,15 @@ def profile(mentions: DataFrame, name: str, partners: int = 5) -> DataFrame:
     return base.crossJoin(top)  # top is one row
 
 
+def resolved(mentions: DataFrame, name: str) -> str | None:
+    """The known name that equals name but for case, else the best one of search_fuzzy."""
+    own = mentions.where(F.lower("name") == name.lower()).agg(F.min("name")).first()[0]
+    if own is not None:
+        return own
+    best = search_fuzzy(mentions.groupBy("name").agg(F.count(F.lit(1)).alias("count")), name, 1).first()
+    return best.name if best else None
+
+
 def partners_of(mentions: DataFrame, name: str, top: int = TOP_PARTNERS) -> DataFrame:
     """(partner, together, rank) of one entity: only its own chunks are read for the pairs."""
     own = mentions.where(F.lower("name") == name.lower()).select("chunk_id").distinct()
@@ -165,5 +183,83 @@ def best_by_name(found: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def chunk_matrix(mentions: DataFrame, names: DataFrame, most: int = LISTED) -> DataFrame:
+    """(asked, chunk_ids) of names (asked), any case: the chunks of each, none for a name that isn't known."""
+    met = names.select("asked", F.lower("asked").alias("low")).join(mentions.select(F.lower("name").alias("low"), "chunk_id"), "low")
+    lists = least_of(met, ["asked"], "chunk_id", "chunk_ids", most)
+    empty = F.array().cast(mentions.select(F.array("chunk_id")).schema[0].dataType)
+    return names.select("asked").distinct().join(lists, "asked", "left").select("asked", F.coalesce("chunk_ids", empty).alias("chunk_ids"))
+
+
+def with_partners(index: DataFrame, mentions: DataFrame, top: int = TOP_PARTNERS) -> DataFrame:
+    """index with co_occurring: array<struct<name, count>>, the strongest partners first."""
+    pairs = cooccurrence(mentions, top).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("partner").alias("name"), F.col("together").alias("count")))).alias("p"))
+    listed = F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count")))
+    return index.join(pairs.withColumnRenamed("name", "n__"), index.name == F.col("n__"), "left").withColumn("co_occurring", F.coalesce(listed, F.array().cast("array<struct<name:string,count:bigint>>"))).drop("n__", "p")
+
+
+#: An entity of a saved index, and a chunk's record of what was found in it.
+ENTRY = "type string, count long, chunk_ids array<string>, source_docs array<string>, dates_associated array<string>, co_occurring array<struct<name:string,count:bigint>>"
+RECORD = "chunk_id string, doc_filename string, entities map<string,array<string>>, dates_in_chunk array<string>"
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """An index with partners as JSON lines, one entity a line."""
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    out = index.select("name", "type", F.col("count").cast("long").alias("count"), text("chunk_ids").alias("chunk_ids"), text("source_docs").alias("source_docs"), text("dates").alias("dates_associated"), "co_occurring")
+    out.write.mode("overwrite").json(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """What save_index wrote."""
+    return spark.read.schema(f"name string, {ENTRY}").json(path)
+
+
+def read_index_json(spark: SparkSession, *paths: str) -> DataFrame:
+    """An index (name, type, count, ...) from the first of the paths that exists, in either foreign form: one JSON
+    object with an entry for each name, or a JSON list of chunk records. A file of these forms is one value and so one
+    task; save_index writes a form that splits."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        p = hadoop(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            break
+    else:
+        raise FileNotFoundError(", ".join(paths))
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value", F.lit(" \t\r\n")).alias("value"))
+    if whole.select(F.substring("value", 1, 1)).first()[0] == "{":
+        entries = whole.select(F.explode(F.from_json("value", f"map<string,struct<{', '.join(x.replace(' ', ':', 1) for x in _fields(ENTRY))}>>")).alias("name", "e"))
+        return entries.select("name", "e.*")
+    each = whole.select(F.explode(F.from_json("value", f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in _fields(RECORD))}>>")).alias("r")).select("r.*")
+    return index_of_records(each)
+
+
+def _fields(ddl: str) -> list[str]:
+    return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl).fields]
+
+
+def record_mentions(records: DataFrame) -> DataFrame:
+    """Mentions (name, type, chunk_id, doc_id, ord) and dates of chunk records; names of under two characters go."""
+    numbered = records.withColumn("at", F.monotonically_increasing_id())
+    each = numbered.select("at", "chunk_id", "doc_filename", "dates_in_chunk", F.explode("entities").alias("type", "names")).select("*", F.posexplode("names").alias("pos", "raw"))
+    return each.select(F.trim("raw").alias("name"), "type", "chunk_id", F.col("doc_filename").alias("doc_id"), F.col("dates_in_chunk").alias("dates"), F.struct("at", "type", "pos").alias("ord")).where(F.length("name") >= 2)
+
+
+def index_of_records(records: DataFrame, most: int = LISTED) -> DataFrame:
+    """(name, type, count, chunk_ids, source_docs, dates_associated, co_occurring) of chunk records."""
+    m = record_mentions(records)
+    dated = m.select("name", "type", "chunk_id", "doc_id", "ord", F.explode_outer("dates").alias("year"))
+    base = m.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.count(F.lit(1)).alias("count"))
+    none = F.array().cast("array<string>")
+    for rows, column, to in ((m, "chunk_id", "chunk_ids"), (m, "doc_id", "source_docs"), (dated, "year", "dates_associated")):
+        base = base.join(least_of(rows, ["name"], column, to, most), "name", "left").withColumn(to, F.coalesce(to, none))
+    return with_partners(base, m)
+
+
 def json_records(index: DataFrame) -> Column:
     return F.to_json(F.struct(*index.columns))
+
+
+def from_json_records(records: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """The rows of JSON texts, by a schema."""
+    return records.select(F.from_json(column, schema).alias("r")).select("r.*")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyspark.sql.types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Stages of a query, the ring sizes and the cost model in USD.
 STAGES = ("parse", "rewrite", "embed", "retrieve", "filter", "score", "rerank", "compress", "graph", "generation")
+#: Ranges of values that a percentile's search counts at once.
+CELLS = 1024
 RING, RECENT, FAILURE_RING, RECENT_FAILURES = 1000, 20, 50, 10
 EMBED_COST, RERANK_COST, GENERATION_COST = 0.05 * 0.003, 0.002, 2.5 * 0.0005
 LOW_QUALITY = 0.3
@@ -79,6 +82,46 @@ def last(log: DataFrame, n: int) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
+def path_coverage(expected, found):
+    """Share of the expected paths (arrays of arrays of names) that were found, each as it is."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_distinct(expected), found)), F.size(F.array_distinct(expected))), F.lit(0.0))
+
+
+LOG = "id long, ts timestamp_ntz, query string, latency double, failed boolean, error string, quality double, rerank_ms double, generation_ms double, n_results long, failure_mode string"
+#: Characters of a query and of an error that a record holds.
+QUERY_CHARS, ERROR_CHARS = 200, 500
+
+
+def record(queries: DataFrame) -> DataFrame:
+    """Log rows of successes (id, ts, query, latency, quality, rerank_ms, generation_ms, n_results)."""
+    mode = failure_mode(F.lit(False), F.col("n_results"), F.col("quality"))
+    return _logged(queries.withColumns({"failed": F.lit(False), "error": F.lit(None).cast("string"), "failure_mode": mode}))
+
+
+def record_failure(queries: DataFrame) -> DataFrame:
+    """Log rows of failures (id, ts, query, error)."""
+    none = {c: F.lit(None) for c in ("latency", "quality", "rerank_ms", "generation_ms", "n_results")}
+    return _logged(queries.withColumns({**none, "failed": F.lit(True), "error": F.substring("error", 1, ERROR_CHARS), "failure_mode": F.lit("error")}))
+
+
+def _logged(rows: DataFrame) -> DataFrame:
+    cut = rows.withColumn("query", F.substring("query", 1, QUERY_CHARS))
+    return cut.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(LOG).fields))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG).parquet(path)
+
+
+def recent_failures(log: DataFrame, ring: int = FAILURE_RING, n: int = RECENT_FAILURES) -> DataFrame:
+    """The last n of the last ``ring`` failures."""
+    return last(last(log.where("failed"), ring), n)
+
+
 def summary(log: DataFrame, ring: int = RING) -> DataFrame:
     """One row over the log (id, ts, latency, failed, quality, rerank_ms, generation_ms): totals over all of it,
     means over the last ``ring`` records, quality over successes only."""
@@ -94,13 +137,37 @@ def summary(log: DataFrame, ring: int = RING) -> DataFrame:
 
 
 def p95(log: DataFrame, value: str = "latency") -> DataFrame:
-    """One row: the value at place min(floor(.95 n), n - 1) of the sorted values, from 0."""
-    counted = log.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("m"))
-    n = log.agg(F.count(value).alias("n"))
-    # Distinct values only meet in one task here.
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = counted.withColumn("upto", F.sum("m").over(w)).crossJoin(n)
-    return upto.where(F.col("upto") > F.least(F.floor(F.lit(0.95) * F.col("n")), F.col("n") - 1)).agg(F.min(value).alias("p95"))
+    """One row: the value at place min(floor(.95 n), n - 1) of the sorted values, from 0.
+
+    Only the values are sorted, over all tasks; the place is looked up by counts of ranges of values, of which there
+    are as many as partitions.
+    """
+    held = log.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    n = F.least(F.floor(F.lit(0.95) * F.count("v")), F.count("v") - 1)
+    place, low, high = held.agg(n, F.min("v"), F.max("v")).first()
+    if low is None:
+        return held.agg(F.max("v").alias("p95"))
+    for _ in range(64):  # narrow the values down to those around the place
+        if low == high:
+            break
+        width = (float(high) - float(low)) / CELLS
+        cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(CELLS - 1)) if width > 0 else F.lit(0)
+        cells = sorted(held.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for c in cells:
+            if place < c.n:
+                break
+            place -= c.n
+        if (c.low, c.high) == (low, high):
+            break
+        low, high = c.low, c.high
+        held = held.where(F.col("v").between(F.lit(low), F.lit(high)))
+    if low != high:  # ranges of floats too narrow to be cut
+        for row in held.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator():
+            low = row.v
+            if place < row.n:
+                break
+            place -= row.n
+    return log.sparkSession.createDataFrame([(low,)], T.StructType([T.StructField("p95", log.schema[value].dataType)]))
 
 
 def stage_means(log: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.sources.shared import cut
+from marlstone.functions.extract import least_of
+from marlstone.sources.shared import cut, kept
 
 # Mentions a node needs, hops of a traversal, decay per hop, least weight of an edge in a score.
 MIN_COUNT, MAX_HOPS, DECAY, FLOOR = 2, 3, 0.7, 0.01
+#: Edges of a graph, as given or contracted, whose communities one task finishes.
+ONE_TASK = 200_000
 
 
 def build_nodes(mentions: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -32,10 +35,10 @@ def build_edges(mentions: DataFrame, nodes: DataFrame, keep_chunks: int | None =
     """(src, dst, weight, type): pairs of nodes by the chunks that mention both; keep_chunks adds the first ids of these."""
     m = mentions.select(F.col("name").alias("id"), "chunk_id").distinct().join(nodes.select("id"), "id")
     pairs = m.select(F.col("id").alias("src"), "chunk_id").join(m.select(F.col("id").alias("dst"), "chunk_id"), "chunk_id").where("src < dst")
-    aggs = [F.count(F.lit(1)).alias("weight")]
+    out = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     if keep_chunks is not None:
-        aggs.append(F.slice(F.sort_array(F.collect_list("chunk_id")), 1, keep_chunks).alias("chunks"))
-    return pairs.groupBy("src", "dst").agg(*aggs).withColumn("type", F.lit(kind))
+        out = out.join(least_of(pairs, ["src", "dst"], "chunk_id", "chunks", keep_chunks), ["src", "dst"])
+    return out.withColumn("type", F.lit(kind))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -178,44 +181,132 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     return labels
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_edges: int = 2_000_000) -> DataFrame:
-    """(id, community): one level of modularity moves over the whole graph, for graphs of at most max_edges edges.
+def communities(edges: DataFrame, resolution: float = 1.0, one_task: int = ONE_TASK, levels: int = 10, rounds: int = 12) -> DataFrame:
+    """(id, community): multi-level modularity communities, each connected; a community is named by its least id.
 
-    The moves depend on each other, so they run in one task; larger graphs are
-    refused and label_propagation is there for them.
+    A level moves nodes between communities until none gains, cuts communities into connected parts (the refinement
+    that Leiden adds to Louvain), and contracts these to the nodes of the next level, until no level changes anything.
+    Levels run as joins and aggregations over all edges. A graph of at most one_task edges, given so or contracted to
+    that, is finished in a single task by the same steps.
     """
-    if edges.count() > max_edges:
-        raise ValueError("too many edges for one task; use label_propagation")
+    ids = kept(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    labels = ids.select("id", F.col("id").alias("community"))
+    # Contracted edges (a <= b, w); a loop holds what lies within a node, counted once.
+    left = kept(edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w")))
+    for _ in range(levels):
+        if left.count() <= one_task:
+            found = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_finish(resolution), f"id {ids.schema['id'].dataType.simpleString()}, community {ids.schema['id'].dataType.simpleString()}")
+            return labels.join(found.select(F.col("id").alias("community"), F.col("community").alias("to")), "community", "left").select("id", F.coalesce("to", "community").alias("community"))
+        moved = _parts_of_communities(left, _moved(left, resolution, rounds))
+        labels = kept(labels.join(moved.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
+        if moved.where("id != community").isEmpty():
+            break
+        a, b = (moved.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b"))
+        ends = left.join(a, "a").join(b, "b")
+        left = kept(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+    return labels
+
+
+def _moved(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(id, community) after rounds in which every second node, by a hash of id and round, may go to the neighbouring
+    community with the largest gain; ties go to the least. As only these move, two nodes seldom swap for ever."""
+    loops = edges.where("a = b").select(F.col("a").alias("id"), (2 * F.col("w")).alias("w"))
+    both = edges.where("a != b").select(F.col("a").alias("id"), F.col("b").alias("near"), "w")
+    both = kept(both.unionByName(both.select(F.col("near").alias("id"), F.col("id").alias("near"), "w")))
+    nodes = kept(both.select("id", "w").unionByName(loops).groupBy("id").agg(F.sum("w").alias("k")))
+    total = nodes.agg(F.sum("k")).first()[0] or 1.0
+    labels = nodes.select("id", "k", F.col("id").alias("community"))
+    for r in range(rounds):
+        mass = labels.groupBy("community").agg(F.sum("k").alias("mass"))
+        ties = both.join(labels.select(F.col("id").alias("near"), "community"), "near").groupBy("id", "community").agg(F.sum("w").alias("tie"))
+        own = labels.select("id", "community", F.lit(0.0).alias("tie"))
+        options = ties.unionByName(own).groupBy("id", "community").agg(F.sum("tie").alias("tie"))
+        rated = options.join(mass, "community").join(labels.select("id", "k", F.col("community").alias("now")), "id")
+        others = F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("tie") - resolution * F.col("k") * others / total, 9)
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        best = rated.groupBy("id").agg(F.max("k").alias("k"), F.max("now").alias("now"), F.max(F.when(F.col("community") == F.col("now"), gain)).alias("stay"), F.min(F.struct((-gain).alias("g"), F.col("community").alias("c"))).alias("best"))
+        goes = turn & (-F.col("best.g") > F.col("stay"))
+        step = kept(best.select("id", "k", F.when(goes, F.col("best.c")).otherwise(F.col("now")).alias("community"), (-F.col("best.g") > F.col("stay")).alias("open")))
+        labels = step.select("id", "k", "community")
+        if step.where("open").isEmpty():
+            break
+    return labels.select("id", "community")
+
+
+def _parts_of_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, community): the connected parts of each community, by its inner edges, named by their least id."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in ("a", "b"))
+    inner = edges.where("a != b").join(a, "a").join(b, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return kept(connected_components(labels.select("id"), inner).withColumnRenamed("component", "community"))
+
+
+def _finish(resolution: float):
+    """The same steps over all levels, in one task, nodes one by one in order of their ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str))
-        at = {n: i for i, n in enumerate(names)}
-        near: list[dict[int, float]] = [{} for _ in names]
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
-            a, b = at[s], at[d]
-            near[a][b] = near[a].get(b, 0.0) + w
-            near[b][a] = near[b].get(a, 0.0) + w
-        strength = np.array([sum(n.values()) for n in near])
-        total = strength.sum()
-        label, mass = np.arange(len(names)), strength.copy()
-        for _ in range(20):
-            moved = False
-            for i in range(len(names)):
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[label[j]] = links.get(label[j], 0.0) + w
-                mass[label[i]] -= strength[i]
-                gain = lambda c: links.get(c, 0.0) - resolution * strength[i] * mass[c] / total  # noqa: B023, E731
-                best = min(set(links) | {label[i]}, key=lambda c: (-round(gain(c), 12), c))
-                if gain(best) > gain(label[i]) + 1e-12 and best != label[i]:
-                    label[i], moved = best, True
-                mass[label[i]] += strength[i]
-            if not moved:
+        names, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        rows, cols, w = flat[: len(pdf)], flat[len(pdf) :], pdf["w"].to_numpy(float)
+        place = np.arange(len(names))  # of each name, its node on the level
+        while True:
+            n = int(max(rows.max(), cols.max())) + 1
+            near: list[dict[int, float]] = [{} for _ in range(n)]
+            k = np.bincount(rows, w, n) + np.bincount(cols, w, n)
+            for a, b, x in zip(rows.tolist(), cols.tolist(), w.tolist()):
+                if a != b:
+                    near[a][b] = near[a].get(b, 0.0) + x
+                    near[b][a] = near[b].get(a, 0.0) + x
+            label = _sweeps(near, k, resolution)
+            part = _connected(near, label)
+            if len(set(part)) == n:
                 break
-        first = {c: names[label == c][0] for c in np.unique(label)}
-        return pd.DataFrame({"id": names, "community": [first[c] for c in label]})
+            number = np.unique(part, return_inverse=True)[1]
+            place, rows, cols = number[place], number[rows], number[cols]
+        least: dict[int, object] = {}
+        for name, p in zip(names.tolist(), place.tolist()):
+            least.setdefault(p, name)
+        return pd.DataFrame({"id": names, "community": [least[p] for p in place.tolist()]})
+
+    return run
+
+
+def _sweeps(near: list[dict[int, float]], k: np.ndarray, resolution: float) -> list[int]:
+    label, mass, scale = list(range(len(near))), k.copy(), resolution / max(k.sum(), 1e-300)
+    for _ in range(50):
+        changed = 0
+        for i, links in enumerate(near):
+            tie: dict[int, float] = {label[i]: 0.0}
+            for j, x in links.items():
+                tie[label[j]] = tie.get(label[j], 0.0) + x
+            mass[label[i]] -= k[i]
+            rated = sorted((-round(x - scale * k[i] * mass[c], 9), c) for c, x in tie.items())
+            stay = -round(tie[label[i]] - scale * k[i] * mass[label[i]], 9)
+            if rated[0][0] < stay:
+                label[i] = rated[0][1]
+                changed += 1
+            mass[label[i]] += k[i]
+        if not changed:
+            break
+    return label
+
+
+def _connected(near: list[dict[int, float]], label: list[int]) -> list[int]:
+    """The connected parts of each label's nodes: a part is named by its least node."""
+    part = [-1] * len(near)
+    for i in range(len(near)):
+        if part[i] < 0:
+            part[i], open_ = i, [i]
+            while open_:
+                for j in near[open_.pop()]:
+                    if part[j] < 0 and label[j] == label[i]:
+                        part[j] = i
+                        open_.append(j)
+    return part
 
-    return edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id string, community string")
+
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, community) by modularity; see communities."""
+    return communities(edges, resolution)
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -282,3 +373,38 @@ def export(nodes: DataFrame, edges: DataFrame, max_nodes: int = 500, max_edges:
     best = nodes.join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "id").limit(max_nodes)
     inner = edges.join(best.select(F.col("id").alias("src")), "src").join(best.select(F.col("id").alias("dst")), "dst")
     return best, inner.select("src", "dst", "weight").orderBy(F.desc("weight"), "src", "dst").limit(max_edges)
+
+
+def export_communities(labels: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame | None = None, most: int = 50, top: int = 5) -> DataFrame:
+    """(community, size, density, summary, top_nodes) of the largest communities; top_nodes by mentions."""
+    large = community_stats(labels, edges).orderBy(F.desc("size"), "community").limit(most)
+    ranked = labels.join(large.select("community"), "community").join(nodes.select("id", "count"), "id").withColumn("r", F.row_number().over(W.partitionBy("community").orderBy(F.desc("count"), "id"))).where(F.col("r") <= top)
+    lists = ranked.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("r", "id")))["id"].alias("top_nodes"))
+    out = large.join(lists, "community", "left")
+    out = out.join(summaries.select("community", "summary"), "community", "left") if summaries is not None else out.withColumn("summary", F.lit(None).cast("string"))
+    return out.select("community", "size", "density", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("top_nodes", F.array().cast("array<string>")).alias("top_nodes"))
+
+
+def export_json(nodes: DataFrame, edges: DataFrame, labels: DataFrame, summaries: DataFrame | None = None, max_nodes: int = 500, max_edges: int = 2000, most: int = 50) -> DataFrame:
+    """(json): one row, an object of the best nodes, the edges among them and the largest communities; bounded by its limits."""
+    best, links = export(nodes, edges, max_nodes, max_edges)
+    n = best.join(labels, "id", "left").select(F.struct((-F.col("degree")).alias("o"), "id", "label", "count", "degree", "community").alias("x")).agg(F.array_sort(F.collect_list("x")).alias("nodes"))
+    e = links.select(F.struct((-F.col("weight")).alias("o"), "src", "dst", "weight").alias("x")).agg(F.array_sort(F.collect_list("x")).alias("edges"))
+    c = export_communities(labels, nodes, edges, summaries, most).select(F.struct((-F.col("size")).alias("o"), "community", "size", "density", "summary", "top_nodes").alias("x")).agg(F.array_sort(F.collect_list("x")).alias("communities"))
+    plain = lambda c, *names: F.transform(c, lambda x: F.struct(*(x[k].alias(to) for k, to in names))).alias(c)
+    one = n.crossJoin(e).crossJoin(c)  # one row each
+    same = lambda *names: [(k, k) for k in names]
+    return one.select(F.to_json(F.struct(plain("nodes", *same("id", "label", "count", "degree", "community")), plain("edges", ("src", "source"), ("dst", "target"), ("weight", "weight")), plain("communities", *same("community", "size", "density", "summary", "top_nodes")))).alias("json"))
+
+
+GRAPH_TABLES = ("nodes", "edges", "labels")
+
+
+def save_graph(path: str, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> None:
+    """Nodes, edges and communities (id, community) as Parquet."""
+    for name, table in zip(GRAPH_TABLES, (nodes, edges, labels)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in GRAPH_TABLES}

@@ -61,12 +61,13 @@ def score(
 ) -> DataFrame:
     """hits (qid, id, text, rrf_score, retrieval_sources) with ``composite_score``.
 
-    entity (qid, id, entity); graph (qid, id, graph); queries (qid, dates,
+    entity (qid, id, entity), or, without a store, the hits' own entity_score if they have one; graph (qid, id, graph); queries (qid, dates,
     max_docs): years asked for and the most documents an asked entity has;
     communities (qid, id): chunks with an entity of the query's communities.
     """
     none = lambda name: F.lit(None).cast("double").alias(name)
-    rows = hits.join(entity, ["qid", "id"], "left") if entity is not None else hits.select("*", none("entity"))
+    own = F.col("entity_score").cast("double") if "entity_score" in hits.columns else F.lit(None).cast("double")
+    rows = hits.join(entity, ["qid", "id"], "left") if entity is not None else hits.select("*", own.alias("entity"))
     rows = rows.join(graph, ["qid", "id"], "left") if graph is not None else rows.select("*", none("graph"))
     rows = rows.join(queries.select("qid", "dates", "max_docs"), "qid", "left") if queries is not None else rows.select("*", F.array().cast("array<string>").alias("dates"), F.lit(0).alias("max_docs"))
     rows = rows.join(communities.select("qid", "id", F.lit(True).alias("inside")).distinct(), ["qid", "id"], "left") if communities is not None else rows.select("*", F.lit(False).alias("inside"))

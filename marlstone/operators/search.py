@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyspark.sql.types as T
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.sources.shared import kept, new_folder
 
 # BM25 parameters; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,7 +25,10 @@ RRF_K = 60
 WEIGHTS = {"dense": 1.0, "sparse": 1.0, "summary": 0.8, "entity": 1.2}
 KEYWORD_BOOST = 1.3
 #: Query vectors that are held by each task at once; more are searched in blocks.
-QUERY_BLOCK = 4096
+QUERY_BLOCK, MAX_QUERIES = 4096, 1_000_000
+#: Folders of postings, and query terms that are looked up as conditions of the scan.
+TERM_BUCKETS, PRUNED = 16, 10_000
+STATS = "n long, avgdl double, mean_idf double, buckets int"
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -32,37 +37,64 @@ def top_k(scored: DataFrame, k: int, score: str = "score", by: tuple[str, ...] =
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bucket_of(buckets: int, term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 class Bm25Index:
-    """postings(id, term, tf, dl), terms(term, df, idf), stats(n, avgdl, mean_idf): plain tables that can be saved."""
+    """postings(id, term, tf, dl, bucket), terms(term, df, idf), stats(n, avgdl, mean_idf, buckets): stored tables.
+
+    Postings are laid out by a hash of their term, in folders of a bucket and sorted within, so that a search reads
+    the lists of its own terms.
+    """
+
+    NAMES = ("postings", "terms", "stats")
 
     def __init__(self, postings: DataFrame, terms: DataFrame, stats: DataFrame):
         self.postings, self.terms, self.stats = postings, terms, stats
 
     @classmethod
-    def build(cls, docs: DataFrame) -> Bm25Index:
-        """From (id, text)."""
-        toks = docs.select("id", tx.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-        stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        postings = toks.select("id", "dl", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = df.crossJoin(stats).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats is one row
-        mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-        terms = raw.crossJoin(mean).select("term", "df", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-        return cls(postings, terms, stats)
+    def build(cls, docs: DataFrame, path: str | None = None, buckets: int = TERM_BUCKETS) -> Bm25Index:
+        """From (id, text). The texts are tokenised once; the tables are kept at path, or in the shared folder."""
+        spark = docs.sparkSession
+        path = path or new_folder(spark)
+        rows = docs.select("id", tx.tokens(F.col("text")).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        counted = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")).withColumn("bucket", bucket_of(buckets))
+        # The list of a frequent term is dealt over as many tasks as there are to each bucket.
+        deal = F.pmod(F.xxhash64("id"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)))
+        counted.repartition("bucket", deal).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("term string, tf long, dl int, bucket int").fields])
+        postings = spark.read.schema(schema).parquet(f"{path}/postings")
+        n = docs.count()
+        df = kept(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+        raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        mean, total = df.agg(F.avg(raw), F.sum("tf")).first()
+        idf = F.when(raw < 0, EPSILON * (mean or 0.0)).otherwise(raw)
+        df.select("term", "df", idf.alias("idf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        stats = spark.createDataFrame([(n, (total or 0) / max(n, 1), mean, buckets)], STATS)
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(postings, spark.read.schema("term string, df long, idf double").parquet(f"{path}/terms"), spark.read.schema(STATS).parquet(f"{path}/stats"))
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in self.NAMES:
+            table = getattr(self, name)
+            (table.write.partitionBy("bucket") if name == "postings" else table.write).mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in cls.NAMES))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, id, score, rank) for queries (qid, query); rows with a score of 0 or less are no hits."""
         asked = queries.select("qid", F.explode(tx.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-        weighted = asked.join(self.terms, "term")
-        hits = self.postings.join(weighted, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
+        buckets = self.stats.first().buckets
+        words = asked.select("term").distinct().select("term", bucket_of(buckets).alias("b")).limit(PRUNED + 1).collect()
+        postings, terms = self.postings, self.terms
+        if len(words) <= PRUNED:  # few enough to be conditions of the scan; beyond, the join alone selects
+            names = [r.term for r in words]
+            postings = postings.where(F.col("bucket").isin(sorted({r.b for r in words})) & F.col("term").isin(names))
+            terms = terms.where(F.col("term").isin(names))
+        hits = postings.join(asked.join(terms, "term"), "term").crossJoin(F.broadcast(self.stats.select("avgdl")))  # stats is one row
         tf = F.col("tf")
         part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         scored = hits.groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
@@ -78,18 +110,24 @@ def unit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
     """(qid, id, score, rank): exact cosine search of queries (qid, embedding) over vectors (id, embedding).
 
-    Each task keeps k candidates a query, so what shuffles does not grow with
-    the vectors of a partition. dims: use the first dimensions only.
+    Queries come to the driver and are broadcast in blocks; at most MAX_QUERIES of them, as a table of more is better
+    split. Each task keeps k candidates a query, so what shuffles does not grow with the vectors of a partition.
+    dims: use the first dimensions only.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if queries.count() > MAX_QUERIES:
+        raise ValueError(f"over {MAX_QUERIES} queries: search them in parts")
     wanted = queries.select("qid", "embedding").toArrow()
     qids, matrix = wanted.column("qid").to_pylist(), _matrix(wanted.column("embedding").combine_chunks(), dims)
-    kind = queries.schema["qid"].dataType.simpleString()
-    id_kind = vectors.schema["id"].dataType.simpleString()
+    kind, id_kind = queries.schema["qid"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    qid_type, id_type = wanted.schema.field("qid").type, to_arrow_type(vectors.schema["id"].dataType)
     parts = None
     for at in range(0, max(len(qids), 1), QUERY_BLOCK):
-        block, names = matrix[at : at + QUERY_BLOCK], qids[at : at + QUERY_BLOCK]
+        shared = vectors.sparkSession.sparkContext.broadcast((qids[at : at + QUERY_BLOCK], matrix[at : at + QUERY_BLOCK]))
 
-        def best(batches: Iterator[pa.RecordBatch], block=block, names=names) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, block = shared.value
             held: list[list[tuple[float, object]]] = [[] for _ in names]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -102,11 +140,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None
                     held[q] = sorted(held[q], key=lambda x: (-x[0], x[1]))[:k]
             flat = [(names[q], i, float(s)) for q, h in enumerate(held) for s, i in h]
             cols = list(zip(*flat)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], wanted.schema.field("qid").type), pa.array(cols[1], batch_type), pa.array(cols[2], pa.float64())], ["qid", "id", "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], qid_type), pa.array(cols[1], id_type), pa.array(cols[2], pa.float64())], ["qid", "id", "score"])
 
-        batch_type = to_arrow_type(vectors.schema["id"].dataType)
         one = vectors.select("id", "embedding").mapInArrow(best, f"qid {kind}, id {id_kind}, score double")
         parts = one if parts is None else parts.unionByName(one)
     return top_k(parts, k)
@@ -141,34 +176,64 @@ def keyword_boost(fused: DataFrame, keyword: Column | str, text: str = "text", s
 def drop_similar(ranked: DataFrame, order: str = "rrf_score") -> DataFrame:
     """Rows of each query in score order without those whose text repeats a kept one's.
 
-    Equal middles (characters 51 to 250), or shared trigrams over 0.6 of the
-    quarter-point extract or 0.7 of the start. A query has at most some hundred
-    candidates, so each query's greedy pass is one group.
+    A text's middle is 300 characters from its first quarter on, its start characters 51 to 250, or all of a text of
+    at most 250; both stripped, any case. Texts repeat if their middles are equal, or share over 0.6 of the larger
+    set of trigrams, or if their starts share over 0.7. A query has at most some hundred candidates, so each query's
+    greedy pass is one group.
     """
     import pandas as pd
 
     def grams(s: str) -> set[str]:
-        s = s.lower()
-        return {s[i : i + 3] for i in range(max(len(s) - 2, 1))}
+        return {s[i : i + 3] for i in range(len(s) - 2)}
 
-    def overlap(a: set[str], b: set[str]) -> float:
+    def share(a: set[str], b: set[str]) -> float:
         return len(a & b) / max(len(a), len(b), 1)
 
+    def extracts(text: str) -> tuple[str, set[str], set[str]]:
+        quarter = len(text) // 4
+        middle = text[quarter : quarter + 300].strip().lower()
+        start = (text if len(text) <= 250 else text[50:250]).strip().lower()
+        return middle, grams(middle), grams(start)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "id"], ascending=[False, True])
-        kept, rows = [], []
+        held, rows = [], []
         for i, text in enumerate(pdf["text"].fillna("")):
-            mid, start = text[len(text) // 4 :][:300], text[50:250]
-            g = (start, grams(mid), grams(start))
-            if any((start and start == k[0]) or overlap(g[1], k[1]) > 0.6 or overlap(g[2], k[2]) > 0.7 for k in kept):
-                continue
-            kept.append(g)
-            rows.append(i)
+            new = extracts(text)
+            if not any(new[0] == old[0] or share(new[1], old[1]) > 0.6 or share(new[2], old[2]) > 0.7 for old in held):
+                held.append(new)
+                rows.append(i)
         return pdf.iloc[rows]
 
     return ranked.groupBy("qid").applyInPandas(run, ranked.schema)
 
 
+def long_hits(hits: DataFrame, chunks: DataFrame, over: int = 50) -> DataFrame:
+    """hits (qid, id, score, rank) of texts with more than ``over`` characters, ranked anew."""
+    held = hits.join(chunks.where(F.length("text") > over).select("id"), "id", "left_semi")
+    return held.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
+
+
+def with_summaries(hits: DataFrame, summaries: DataFrame) -> DataFrame:
+    """hits with the summary text of their chunk (id, summary), null where there is none."""
+    return hits.join(summaries.select("id", "summary"), "id", "left")
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """An index of (id, embedding, ...): unit vectors, as a dense search needs them."""
+    unit(vectors).write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def append_vectors(vectors: DataFrame, path: str) -> None:
+    """Adds vectors to a saved index; of ids that it has, nothing is added."""
+    known = vectors.sparkSession.read.parquet(path).select("id")
+    unit(vectors).join(known, "id", "left_anti").write.mode("append").parquet(path)
+
+
 def hybrid(lists: dict[str, DataFrame], chunks: DataFrame, k: int, keyword: str | None = None, doc_type: str | None = None, similar: bool = False) -> DataFrame:
     """Fused hits with their chunk's columns, filtered and limited: the first 3k candidates are looked at.
 

@@ -11,26 +11,41 @@ from marlstone.operators import scoring as sc
 
 from .registry import BRANDS, MENTIONS, docs, mentions, query, table
 
-#: The full graph of brands is complete; its heaviest edges leave paths of several hops.
-HEAVIEST = 26
 START = "Brand#12"
 
 _NODES = """nd AS (SELECT name AS id, count(*) AS count, count(DISTINCT chunk_id) AS num_chunks FROM mentions WHERE length(name) >= 2 GROUP BY name HAVING count(*) >= 2)"""
 _EDGES = f"""{_NODES}, dm AS (SELECT DISTINCT name AS id, chunk_id FROM mentions WHERE name IN (SELECT id FROM nd)),
 ed AS (SELECT a.id AS src, b.id AS dst, count(*) AS weight FROM dm a JOIN dm b ON a.chunk_id = b.chunk_id AND a.id < b.id GROUP BY 1, 2)"""
-_HEAVY = f"""{_EDGES}, hv AS (SELECT * FROM ed ORDER BY weight DESC, src, dst LIMIT {HEAVIEST}),
-sy AS (SELECT src, dst, weight FROM hv UNION ALL SELECT dst, src, weight FROM hv)"""
+_BOTH = "sy AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed)"
 _SCORE = "list_product(list_transform(w, lambda x: greatest(x / list_max(w)::DOUBLE, 0.01))) * pow(0.7, len(w) - 1)"
 
+# Places: customers and suppliers in nations, nations in regions. A sparse graph of all their rows.
+_PLACES = """pe AS (SELECT n_name AS a, r_name AS b, 1 AS w, 'in_region' AS type FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT c_name, n_name, 1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey), 'lives_in' FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT s_name, n_name, 1 + s_suppkey % 5, 'based_in' FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ed AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, w AS weight, type FROM pe),
+nd AS (SELECT DISTINCT id FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed))"""
+
 
 def _graph(spark, sf_dir):
     m = mentions(spark, sf_dir, types=False)
-    nodes = g.build_nodes(m)
-    return m, nodes, g.build_edges(m, nodes)
+    nodes = g.cut(g.build_nodes(m))
+    return m, nodes, g.cut(g.build_edges(m, nodes))
 
 
-def _heavy(edges):
-    return edges.orderBy(F.desc("weight"), "src", "dst").limit(HEAVIEST)
+def _places(spark, sf_dir):
+    """Nodes (id) and edges of the graph of places."""
+    read = lambda name: table(spark, sf_dir, name)
+    nation, region = read("nation"), read("region")
+    orders = read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = [
+        nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), F.lit(1).cast("long").alias("weight"), F.lit("in_region").alias("type")),
+        read("customer").join(orders, "c_custkey", "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("a"), F.col("n_name").alias("b"), (1 + F.coalesce("n", F.lit(0))).alias("weight"), F.lit("lives_in").alias("type")),
+        read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("a"), F.col("n_name").alias("b"), (1 + F.col("s_suppkey") % 5).alias("weight"), F.lit("based_in").alias("type")),
+    ]
+    each = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    edges = g.cut(each.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight", "type"))
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges
 
 
 @query(f"WITH {MENTIONS}, {_NODES}, l AS (SELECT name, type, count(*) AS n FROM mentions GROUP BY ALL), b AS (SELECT name, type FROM l QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, type) = 1) SELECT id, b.type AS label, count, num_chunks FROM nd JOIN b ON b.name = id")
@@ -43,12 +58,13 @@ def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[2]
 
 
-@query(f"WITH {BRANDS}, {_HEAVY} SELECT src AS id, count(*) AS degree FROM sy GROUP BY src")
+@query(f"WITH {BRANDS}, {_EDGES}, {_BOTH} SELECT src AS id, count(*) AS degree FROM sy GROUP BY src")
 def graph_degree(spark, sf_dir):
-    return g.degree(_heavy(_graph(spark, sf_dir)[2]))
+    return g.degree(_graph(spark, sf_dir)[2])
 
 
-_BFS = f"""WITH {BRANDS}, {_HEAVY}, st AS (SELECT id AS start FROM nd WHERE id IN (SELECT src FROM sy)),
+def _bfs(graph: str, starts: str) -> str:
+    return f"""WITH {graph}, {_BOTH}, st AS ({starts}),
 e1 AS (SELECT start, dst AS node, [start, dst] AS p, [weight] AS w FROM st JOIN sy ON sy.src = start),
 f1 AS (SELECT start, node, p, w FROM e1 WHERE node <> start QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY p) = 1),
 e2 AS (SELECT start, dst AS node, list_append(p, dst) AS p, list_append(w, weight) AS w FROM f1 JOIN sy ON sy.src = f1.node),
@@ -57,83 +73,146 @@ e3 AS (SELECT start, dst AS node, list_append(p, dst) AS p, list_append(w, weigh
 em AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3)"""
 
 
-@query(_BFS + f" SELECT start, array_to_string(p, '>') AS path, len(w)::INT AS hops, round({_SCORE}, 9) AS score FROM em")
+_BRAND_BFS = _bfs(f"{BRANDS}, {_EDGES}", "SELECT id AS start FROM nd")
+_PLACE_STARTS = "SELECT r_name AS start FROM region UNION ALL SELECT n_name FROM nation"
+_PLACE_BFS = _bfs(_PLACES, _PLACE_STARTS)
+_EM = f" SELECT start, array_to_string(p, '>') AS path, len(w)::INT AS hops, round({_SCORE}, 9) AS score FROM em"
+
+
+def _shown(paths):
+    return paths.select("start", F.array_join("path", ">").alias("path"), "hops", F.round("score", 9).alias("score"))
+
+
+def _place_starts(spark, sf_dir):
+    return table(spark, sf_dir, "region").select(F.col("r_name").alias("id")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("id")))
+
+
+@query(_BRAND_BFS + _EM)
 def bfs_multi_hop(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
-    paths = g.multi_hop(_heavy(edges), nodes.select("id"))
-    return paths.select("start", F.array_join("path", ">").alias("path"), "hops", F.round("score", 9).alias("score"))
+    return _shown(g.multi_hop(edges, nodes.select("id")))
+
+
+@query(_PLACE_BFS + _EM)
+def bfs_places(spark, sf_dir):
+    return _shown(g.multi_hop(_places(spark, sf_dir)[1], _place_starts(spark, sf_dir)))
+
 
+@query(_PLACE_BFS + _EM + " WHERE len(list_distinct(p)) = len(p)")
+def bfs_simple(spark, sf_dir):
+    return _shown(g.multi_hop(_places(spark, sf_dir)[1], _place_starts(spark, sf_dir), simple=True))
 
-@query(_BFS + f" SELECT start, array_to_string(p, '>') AS path FROM em WHERE node = (SELECT max(dst) FROM hv)")
+
+@query(_PLACE_BFS.replace("SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed", "SELECT src, dst, weight FROM ed WHERE weight >= 3 AND type IN ('lives_in', 'based_in') UNION ALL SELECT dst, src, weight FROM ed WHERE weight >= 3 AND type IN ('lives_in', 'based_in')") + _EM)
+def bfs_edge_filters(spark, sf_dir):
+    usable = g.usable(_places(spark, sf_dir)[1], 3, ["lives_in", "based_in"])
+    return _shown(g.multi_hop(usable, _place_starts(spark, sf_dir)))
+
+
+@query(_PLACE_BFS + " SELECT start, array_to_string(p, '>') AS path FROM em WHERE node = (SELECT max(dst) FROM ed)")
 def bfs_to_target(spark, sf_dir):
-    _, nodes, edges = _graph(spark, sf_dir)
-    heavy = g.cut(_heavy(edges))
-    target = heavy.select(F.max("dst").alias("id"))
-    return g.multi_hop(heavy, nodes.select("id"), targets=target).select("start", F.array_join("path", ">").alias("path"))
+    edges = _places(spark, sf_dir)[1]
+    target = edges.select(F.max("dst").alias("id"))
+    return g.multi_hop(edges, _place_starts(spark, sf_dir), targets=target).select("start", F.array_join("path", ">").alias("path"))
 
 
 @query(
-    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM hv),
+    f"""WITH RECURSIVE {BRANDS}, {_EDGES}, {_BOTH}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM ed),
 r AS (SELECT dst AS node, [src, dst] AS p, [weight] AS w FROM sy WHERE src = (SELECT a FROM ends)
   UNION ALL SELECT sy.dst, list_append(p, sy.dst), list_append(w, sy.weight) FROM r JOIN sy ON sy.src = r.node
-  WHERE len(p) < 5 AND node <> (SELECT b FROM ends) AND NOT list_contains(p, sy.dst))
+  WHERE len(p) < 4 AND node <> (SELECT b FROM ends) AND NOT list_contains(p, sy.dst))
 SELECT array_to_string(p, '>') AS path, len(w)::INT AS hops, round({_SCORE}, 9) AS score FROM r WHERE node = (SELECT b FROM ends)
 ORDER BY round({_SCORE}, 9) DESC, p LIMIT 20"""
 )
 def simple_paths(spark, sf_dir):
-    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
+    edges = _graph(spark, sf_dir)[2]
     a, b = edges.agg(F.min("src"), F.max("dst")).first()
-    paths = g.simple_paths(edges, a, b, cutoff=4)
+    paths = g.simple_paths(edges, a, b, cutoff=3)
     return paths.select(F.array_join("path", ">").alias("path"), "hops", F.round("score", 9).alias("score"))
 
 
-@query(
-    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM hv),
-r AS (SELECT dst AS node, [src, dst] AS p FROM sy WHERE src = (SELECT a FROM ends)
-  UNION ALL SELECT sy.dst, list_append(p, sy.dst) FROM r JOIN sy ON sy.src = r.node WHERE len(p) < 7 AND NOT list_contains(p, sy.dst))
-SELECT array_to_string(p, '>') AS path FROM r WHERE node = (SELECT b FROM ends) ORDER BY len(p), p LIMIT 1"""
-)
+# Between the first and the last customer of the first region: customer, nation, region, nation, customer.
+_ENDS = """ends AS (SELECT min(c_name) AS a, max(c_name) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0)"""
+_WALK = """r AS (SELECT dst AS node, [src, dst] AS p FROM sy WHERE src = (SELECT a FROM ends)
+  UNION ALL SELECT sy.dst, list_append(p, sy.dst) FROM r JOIN sy ON sy.src = r.node WHERE len(p) < 5 AND NOT list_contains(p, sy.dst))"""
+
+
+def _ends(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").where("n_regionkey = 0")
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min("c_name"), F.max("c_name")).first()
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_BOTH}, {_ENDS}, {_WALK} SELECT array_to_string(p, '>') AS path FROM r WHERE node = (SELECT b FROM ends) ORDER BY len(p), p LIMIT 1")
 def shortest_path(spark, sf_dir):
-    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
-    a, b = edges.agg(F.min("src"), F.max("dst")).first()
-    return g.shortest_path(edges, a, b).select(F.array_join("path", ">").alias("path"))
+    return g.shortest_path(_places(spark, sf_dir)[1], *_ends(spark, sf_dir)).select(F.array_join("path", ">").alias("path"))
 
 
 @query(
-    f"""WITH {BRANDS}, {_HEAVY}, s AS (SELECT min(src) AS a FROM hv), n1 AS (SELECT DISTINCT dst AS id FROM sy, s WHERE src = a AND dst <> a),
-n2 AS (SELECT DISTINCT dst AS id FROM sy JOIN n1 ON sy.src = n1.id WHERE dst NOT IN (SELECT id FROM n1) AND dst <> (SELECT a FROM s))
-SELECT a AS id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2"""
+    f"""WITH RECURSIVE {_PLACES}, {_BOTH}, {_ENDS}, {_WALK}, far AS (SELECT array_to_string(p, '>') AS path FROM r WHERE node = (SELECT b FROM ends) ORDER BY len(p), p LIMIT 1)
+SELECT 'direct' AS kind, weight::BIGINT AS weight, src || '>' || dst AS path FROM ed WHERE src = 'AFRICA' AND dst = 'NATION_0' UNION ALL SELECT 'path', NULL, path FROM far UNION ALL SELECT 'none', NULL, NULL"""
 )
+def relationship(spark, sf_dir):
+    edges = _places(spark, sf_dir)[1]
+    found = [g.relationship(edges, "AFRICA", "NATION_0"), g.relationship(edges, *_ends(spark, sf_dir)), g.relationship(edges, "AFRICA", "nowhere")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("kind", "weight", F.array_join("path", ">").alias("path"))
+
+
+_HOOD = f"""WITH {_PLACES}, {_BOTH}, n1 AS (SELECT DISTINCT dst AS id FROM sy WHERE src = 'AFRICA'),
+n2 AS (SELECT DISTINCT dst AS id FROM sy JOIN n1 ON sy.src = n1.id WHERE dst <> 'AFRICA' AND dst NOT IN (SELECT id FROM n1))"""
+
+
+@query(_HOOD + " SELECT 'AFRICA' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2")
 def neighborhood(spark, sf_dir):
-    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
-    return g.neighborhood(edges, edges.agg(F.min("src")).first()[0], 2)[0]
+    return g.neighborhood(_places(spark, sf_dir)[1], "AFRICA", 2)[0]
 
 
-@query(f"WITH {BRANDS}, {_HEAVY}, s AS (SELECT min(src) AS a FROM hv) SELECT src, dst, weight FROM sy WHERE src = (SELECT a FROM s) OR src IN (SELECT dst FROM sy, s WHERE src = a)")
+@query(_HOOD + " SELECT src, dst, weight FROM sy WHERE src = 'AFRICA' OR src IN (SELECT id FROM n1)")
 def neighborhood_edges(spark, sf_dir):
-    edges = g.cut(_heavy(_graph(spark, sf_dir)[2]))
-    return g.neighborhood(edges, edges.agg(F.min("src")).first()[0], 2)[1]
+    return g.neighborhood(_places(spark, sf_dir)[1], "AFRICA", 2)[1]
 
 
-@query(
-    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, r AS (SELECT id AS v, id AS u FROM nd UNION SELECT r.v, sy.dst FROM r JOIN sy ON r.u = sy.src)
-SELECT v AS id, min(u) AS component FROM r GROUP BY v"""
-)
+_COMPONENTS = "r AS (SELECT id AS v, id AS u FROM nd UNION SELECT r.v, sy.dst FROM r JOIN sy ON r.u = sy.src), c AS (SELECT v AS id, min(u) AS community FROM r GROUP BY v)"
+_SIZES = """z AS (SELECT community, count(*) AS size FROM c GROUP BY community HAVING count(*) >= 2), m AS (SELECT community, count(*) AS m FROM ed JOIN c ON c.id = src GROUP BY community)"""
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_BOTH}, {_COMPONENTS} SELECT id, community AS component FROM c")
 def connected_components(spark, sf_dir):
-    _, nodes, edges = _graph(spark, sf_dir)
-    return g.connected_components(nodes, g.cut(_heavy(edges)))
+    return g.connected_components(*_places(spark, sf_dir))
 
 
-@query(
-    f"""WITH RECURSIVE {BRANDS}, {_HEAVY}, r AS (SELECT id AS v, id AS u FROM nd UNION SELECT r.v, sy.dst FROM r JOIN sy ON r.u = sy.src),
-c AS (SELECT v AS id, min(u) AS community FROM r GROUP BY v), z AS (SELECT community, count(*) AS size FROM c GROUP BY community HAVING count(*) >= 2),
-m AS (SELECT community, count(*) AS m FROM hv JOIN c ON c.id = src GROUP BY community)
-SELECT community, size, round(2.0 * m / (size * (size - 1)), 3) AS density FROM z JOIN m USING (community)"""
-)
+@query(f"WITH RECURSIVE {_PLACES}, {_BOTH}, {_COMPONENTS}, {_SIZES} SELECT community, size, round(2.0 * m / (size * (size - 1)), 3) AS density FROM z JOIN m USING (community)")
 def community_density(spark, sf_dir):
-    _, nodes, edges = _graph(spark, sf_dir)
-    heavy = g.cut(_heavy(edges))
-    return g.community_stats(g.connected_components(nodes, heavy).withColumnRenamed("component", "community"), heavy)
+    nodes, edges = _places(spark, sf_dir)
+    return g.community_stats(g.connected_components(nodes, edges).withColumnRenamed("component", "community"), edges)
+
+
+# A planted partition: nations of a region form a clique of heavy edges, regions a light ring through their nations.
+_PLANTED = """pl AS (SELECT a.n_name AS src, b.n_name AS dst, 10.0 AS weight FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name
+  UNION ALL SELECT least(a.n_name, b.n_name), greatest(a.n_name, b.n_name), 1.0 FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey <> b.n_regionkey)"""
+
+
+def _planted(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    m = n.toDF("k", "name", "region")
+    clique = n.join(m, (F.col("n_regionkey") == F.col("region")) & (F.col("n_name") < F.col("name"))).select(F.col("n_name").alias("src"), F.col("name").alias("dst"), F.lit(10.0).alias("weight"))
+    ring = n.join(m, (F.col("k") == F.col("n_nationkey") + 1) & (F.col("n_regionkey") != F.col("region"))).select(F.least("n_name", "name").alias("src"), F.greatest("n_name", "name").alias("dst"), F.lit(1.0).alias("weight"))
+    return clique.unionByName(ring)
+
+
+@query("SELECT n_name AS id, min(n_name) OVER (PARTITION BY n_regionkey) AS community FROM nation")
+def communities_planted(spark, sf_dir):
+    return g.communities(_planted(spark, sf_dir))
+
+
+@query("SELECT n_name AS id, min(n_name) OVER (PARTITION BY n_regionkey) AS community FROM nation")
+def communities_distributed(spark, sf_dir):
+    return g.communities(_planted(spark, sf_dir), one_task=0)
+
+
+@query(f"WITH {_PLANTED}, c AS (SELECT n_name AS id, n_regionkey AS c FROM nation), t AS (SELECT sum(weight) AS m FROM pl), i AS (SELECT sum(weight) AS s FROM pl JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.c = b.c), d AS (SELECT c, sum(weight) AS s FROM (SELECT src AS id, weight FROM pl UNION ALL SELECT dst, weight FROM pl) JOIN c USING (id) GROUP BY c) SELECT round(any_value(i.s) / any_value(m) - sum(pow(d.s / (2 * m), 2)), 9) AS modularity FROM d, t, i")
+def communities_modularity(spark, sf_dir):
+    edges = g.cut(_planted(spark, sf_dir))
+    return g.modularity(g.communities(edges), edges).select(F.round("modularity", 9).alias("modularity"))
 
 
 @query()
@@ -144,21 +223,21 @@ def label_propagation(spark, sf_dir):
 
 @query()
 def louvain(spark, sf_dir):
-    return g.louvain(g.cut(_graph(spark, sf_dir)[2]))
+    return g.louvain(_graph(spark, sf_dir)[2])
 
 
 @query(
-    f"""WITH {BRANDS}, {_HEAVY}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), t AS (SELECT sum(weight) AS m FROM hv),
-i AS (SELECT a.c, sum(weight) AS s FROM hv JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.c = b.c GROUP BY 1), d AS (SELECT c, sum(weight) AS s FROM sy JOIN l ON l.id = src GROUP BY 1)
+    f"""WITH {BRANDS}, {_EDGES}, {_BOTH}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), t AS (SELECT sum(weight) AS m FROM ed),
+i AS (SELECT a.c, sum(weight) AS s FROM ed JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.c = b.c GROUP BY 1), d AS (SELECT c, sum(weight) AS s FROM sy JOIN l ON l.id = src GROUP BY 1)
 SELECT round(sum(coalesce(i.s, 0) / m - pow(d.s / (2 * m), 2)), 9) AS modularity FROM d LEFT JOIN i USING (c), t"""
 )
 def modularity(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
-    return g.modularity(nodes.select("id", F.substring("id", 1, 7).alias("community")), g.cut(_heavy(edges))).select(F.round("modularity", 9).alias("modularity"))
+    return g.modularity(nodes.select("id", F.substring("id", 1, 7).alias("community")), edges).select(F.round("modularity", 9).alias("modularity"))
 
 
 @query(
-    f"""WITH {BRANDS}, {_HEAVY}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), s AS (SELECT DISTINCT c AS community, 'summary of ' || lower(c) AS summary FROM l)
+    f"""WITH {BRANDS}, {_NODES}, l AS (SELECT id, substr(id, 1, 7) AS c FROM nd), s AS (SELECT DISTINCT c AS community, 'summary of ' || lower(c) AS summary FROM l)
 SELECT community, (2 * n + CASE WHEN contains(summary, 'brand#1') THEN 1 ELSE 0 END + CASE WHEN contains(summary, 'summary') THEN 1 ELSE 0 END)::BIGINT AS score
 FROM (SELECT c, count(*) FILTER (lower(id) IN ('brand#1', 'brand#12')) AS n FROM l GROUP BY c) JOIN s ON s.community = c ORDER BY 2 DESC, 1 LIMIT 3"""
 )
@@ -169,13 +248,70 @@ def relevant_communities(spark, sf_dir):
     return out.select("community", F.col("score").cast("long").alias("score"))
 
 
-@query()
+_TOP = f"""{_PLACES}, {_BOTH}, {_COMPONENTS}, {_SIZES}, dg AS (SELECT src AS id, sum(weight) AS count FROM sy GROUP BY src),
+own AS (SELECT c.community, c.id, CASE WHEN c.id LIKE 'C%' THEN 'CUSTOMER' ELSE 'OTHER' END AS label, dg.count FROM c JOIN dg USING (id) WHERE community IN (SELECT community FROM z ORDER BY size DESC, community LIMIT 50)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY count DESC, id) AS r FROM own)"""
+
+
+def _labelled_places(spark, sf_dir):
+    nodes, edges = _places(spark, sf_dir)
+    counted = g.symmetric(edges.select("src", "dst", "weight")).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("count"))
+    labels = g.cut(g.connected_components(nodes, edges).withColumnRenamed("component", "community"))
+    return counted.withColumn("label", F.when(F.col("id").startswith("C"), "CUSTOMER").otherwise("OTHER")), edges, labels
+
+
+_PROMPT = """, n AS (SELECT community, string_agg('- ' || id || ' (' || label || ', ' || count || ' mentions)', chr(10) ORDER BY r) AS n FROM rk WHERE r <= 20 GROUP BY community),
+l AS (SELECT a.community, src, dst, weight, row_number() OVER (PARTITION BY a.community ORDER BY weight DESC, src, dst) AS k FROM ed JOIN rk a ON a.id = src AND a.r <= 20 JOIN rk b ON b.id = dst AND b.r <= 20 AND a.community = b.community),
+t AS (SELECT community, string_agg('- ' || src || ' / ' || dst || ' (' || weight || ')', chr(10) ORDER BY k) AS t FROM l WHERE k <= 10 GROUP BY community)
+SELECT community, 'Entities:' || chr(10) || n || chr(10) || 'Links:' || chr(10) || coalesce(t, '') AS prompt FROM n LEFT JOIN t USING (community)"""
+
+
+@query(f"WITH RECURSIVE {BRANDS}, {_EDGES}, {_BOTH}, {_COMPONENTS}, {_SIZES}, rk AS (SELECT c.community, c.id, 'BRAND' AS label, nd.count, row_number() OVER (PARTITION BY community ORDER BY nd.count DESC, c.id) AS r FROM c JOIN nd USING (id) WHERE community IN (SELECT community FROM z ORDER BY size DESC, community LIMIT 50))" + _PROMPT)
 def community_prompts(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
-    edges = g.cut(edges)
     return g.community_prompts(g.connected_components(nodes, edges).withColumnRenamed("component", "community"), nodes, edges)
 
 
+@query(f"WITH RECURSIVE {_TOP}" + _PROMPT)
+def community_prompts_places(spark, sf_dir):
+    nodes, edges, labels = _labelled_places(spark, sf_dir)
+    return g.community_prompts(labels, nodes, edges)
+
+
+@query(f"WITH RECURSIVE {_TOP}, t AS (SELECT community, string_agg(id, '|' ORDER BY r) AS top_nodes FROM rk WHERE r <= 5 GROUP BY community) SELECT community, size, round(2.0 * m / (size * (size - 1)), 3) AS density, 'about ' || community AS summary, top_nodes FROM z JOIN m USING (community) JOIN t USING (community)")
+def community_export(spark, sf_dir):
+    nodes, edges, labels = _labelled_places(spark, sf_dir)
+    summaries = labels.select("community", F.concat(F.lit("about "), F.col("community")).alias("summary")).distinct()
+    return g.export_communities(labels, nodes, edges, summaries).withColumn("top_nodes", F.array_join("top_nodes", "|"))
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_BOTH}, {_COMPONENTS} SELECT string_agg('- Community ' || community || ': about ' || community, chr(10) ORDER BY n DESC, community) AS context FROM (SELECT community, count(*) AS n FROM c GROUP BY community ORDER BY 2 DESC, 1 LIMIT 3)")
+def community_context(spark, sf_dir):
+    labels = _labelled_places(spark, sf_dir)[2]
+    summaries = labels.select("community", F.concat(F.lit("about "), F.col("community")).alias("summary")).distinct()
+    chosen = labels.groupBy("community").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "community").limit(3)
+    return g.community_context(summaries, chosen)
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_BOTH}, {_COMPONENTS} SELECT id, community, (SELECT count(*) FROM sy WHERE sy.src = c.id) AS degree FROM c")
+def graph_saved(spark, sf_dir):
+    from marlstone.sources.shared import new_folder
+
+    path = new_folder(spark)
+    nodes, edges, labels = _labelled_places(spark, sf_dir)
+    g.save_graph(path, nodes, edges, labels)
+    read = g.load_graph(spark, path)
+    return read["nodes"].select("id").join(read["labels"], "id").join(g.degree(read["edges"]), "id").select("id", "community", "degree")
+
+
+@query(f"WITH RECURSIVE {_TOP}, k AS (SELECT src AS id, count(*) AS degree FROM sy GROUP BY src ORDER BY 2 DESC, 1 LIMIT 12) SELECT id, degree, community FROM k JOIN c USING (id)")
+def graph_json(spark, sf_dir):
+    nodes, edges, labels = _labelled_places(spark, sf_dir)
+    text = g.export_json(nodes, edges, labels, max_nodes=12, max_edges=40)
+    each = text.select(F.explode(F.from_json("json", "struct<nodes:array<struct<id:string,degree:bigint,community:string>>>")["nodes"]).alias("n"))
+    return each.select("n.id", "n.degree", "n.community")
+
+
 @query(f"WITH {BRANDS}, {_EDGES}, x AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed) SELECT id, 'BRAND' AS label, count, (SELECT count(*) FROM x WHERE src = '{START}') AS degree, dst AS neighbor, weight, 'mentioned_with' AS type FROM nd JOIN x ON src = id WHERE id = '{START}' ORDER BY weight DESC, dst LIMIT 10")
 def node_detail(spark, sf_dir):
     _, nodes, edges = _graph(spark, sf_dir)
@@ -188,7 +324,7 @@ def graph_export(spark, sf_dir):
     return g.export(nodes, edges, 12, 40)[1]
 
 
-_PATHS = _BFS.replace("st AS (SELECT id AS start FROM nd WHERE id IN (SELECT src FROM sy))", "st AS (SELECT min(src) AS start FROM hv)")
+_PATHS = _bfs(f"{BRANDS}, {_EDGES}", "SELECT min(src) AS start FROM ed")
 
 
 @query(
@@ -197,26 +333,28 @@ _PATHS = _BFS.replace("st AS (SELECT id AS start FROM nd WHERE id IN (SELECT src
 o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY list_sort(p) ORDER BY round(score, 9) DESC, p) = 1 ORDER BY round(score, 9) DESC, p LIMIT 5),
 n AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, p) AS chain FROM o),
 yr AS (SELECT name, min(year) AS lo, max(year) AS hi FROM mentions GROUP BY name),
-t AS (SELECT chain, min(lo) AS date_from, max(hi) AS date_to FROM (SELECT chain, unnest(p) AS name FROM n) JOIN yr USING (name) GROUP BY chain)
-SELECT chain::INT AS chain, array_to_string(p, '>') AS entities, round(score, 6) AS confidence, date_from, date_to, array_to_string(p, ' --[mentioned_with]--> ') AS description FROM n JOIN t USING (chain)"""
+t AS (SELECT chain, min(lo) AS date_from, max(hi) AS date_to FROM (SELECT chain, unnest(p) AS name FROM n) JOIN yr USING (name) GROUP BY chain),
+kc AS (SELECT a.id AS src, b.id AS dst, a.chunk_id, row_number() OVER (PARTITION BY a.id, b.id ORDER BY a.chunk_id) AS r FROM dm a JOIN dm b ON a.chunk_id = b.chunk_id AND a.id < b.id QUALIFY r <= 5),
+st2 AS (SELECT chain, unnest(generate_series(1, len(p) - 1)) AS i, p FROM n),
+ck AS (SELECT DISTINCT chain, chunk_id FROM st2 JOIN kc ON src = least(p[i], p[i + 1]) AND dst = greatest(p[i], p[i + 1])),
+sp AS (SELECT chain, count(*) AS n_chunks, string_agg('order ' || chunk_id, '|' ORDER BY chunk_id) AS snippets FROM (SELECT * FROM ck QUALIFY row_number() OVER (PARTITION BY chain ORDER BY chunk_id) <= 10) GROUP BY chain)
+SELECT chain::INT AS chain, array_to_string(p, '>') AS entities, round(score, 6) AS confidence, date_from, date_to, n_chunks, snippets, array_to_string(p, ' --[mentioned_with]--> ') AS description FROM n JOIN t USING (chain) JOIN sp USING (chain)"""
 )
 def evidence_chains(spark, sf_dir):
-    m, nodes, edges = _graph(spark, sf_dir)
-    with_chunks = g.build_edges(m, nodes, keep_chunks=20)
-    heavy = g.cut(_heavy(with_chunks))
-    start = heavy.select(F.min("src").alias("id"))
-    paths = v.path_chunks(g.multi_hop(heavy, start), heavy)
+    m, nodes, _ = _graph(spark, sf_dir)
+    edges = g.cut(g.build_edges(m, nodes, keep_chunks=20))
+    start = edges.select(F.min("src").alias("id"))
+    paths = v.path_chunks(g.multi_hop(edges, start), edges)
     chunk = m.select(F.col("chunk_id").alias("id"), F.concat(F.lit("order "), F.col("chunk_id").cast("string")).alias("text")).distinct()
     out = v.chains(paths, m, chunk)
-    return out.select("chain", F.array_join("entities", ">").alias("entities"), F.round("confidence", 6).alias("confidence"), "date_from", "date_to", "description")
+    return out.select("chain", F.array_join("entities", ">").alias("entities"), F.round("confidence", 6).alias("confidence"), "date_from", "date_to", "n_chunks", F.array_join("snippets", "|").alias("snippets"), "description")
 
 
-@query(_PATHS + " SELECT DISTINCT name FROM (SELECT unnest(p) AS name FROM em) WHERE name NOT IN (SELECT min(src) FROM hv)")
+@query(_PATHS + " SELECT DISTINCT name FROM (SELECT unnest(p) AS name FROM em) WHERE name NOT IN (SELECT min(src) FROM ed)")
 def discovered_entities(spark, sf_dir):
-    _, _, edges = _graph(spark, sf_dir)
-    heavy = g.cut(_heavy(edges))
-    start = heavy.select(F.min("src").alias("id"))
-    return v.discovered(g.multi_hop(heavy, start), start.select(F.col("id").alias("name")))
+    edges = _graph(spark, sf_dir)[2]
+    start = edges.select(F.min("src").alias("id"))
+    return v.discovered(g.multi_hop(edges, start), start.select(F.col("id").alias("name")))
 
 
 _COMP = f"""WITH {BRANDS}, h AS (SELECT doc_id AS id, text, 0.001 * (doc_id % 70) AS rrf, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
@@ -241,8 +379,7 @@ def composite_score(spark, sf_dir):
     return out.select("id", F.round("composite_score", 6).alias("composite_score"))
 
 
-@query("SELECT l_orderkey AS id, max(l_quantity / 50) AS graph FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS id, max(l_quantity / 50) AS graph FROM lineitem GROUP BY l_orderkey")
 def graph_scores(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    paths = line.select(F.lit(0).alias("qid"), (F.col("l_quantity") / 50).alias("score"), F.array("l_orderkey").alias("evidence_chunks"))
+    paths = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("qid"), (F.col("l_quantity") / 50).alias("score"), F.array("l_orderkey").alias("evidence_chunks"))
     return sc.graph_scores(paths).select("id", "graph")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as tx
+from marlstone.operators import entities as e
 from marlstone.operators import search as s
 from marlstone.sources import corpus
 
-from .registry import DOCS, docs, query, table
+from .registry import _LINES, DOCS, docs, mentions, query, table
 
 TEXT_QUERY = "the bleha anstin of hetion"
 
@@ -21,12 +22,12 @@ def bm25_sql(queries: str, k: int, final: str) -> str:
     """DuckDB SQL: final over hits(qid, id, score, rank)."""
     return f"""
 WITH {DOCS}, q AS ({queries}),
-toks AS (SELECT id, {_tok('text')} AS t FROM docs), dl AS (SELECT id, len(t) AS dl FROM toks),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM toks) GROUP BY ALL),
+toks AS MATERIALIZED (SELECT id, {_tok('text')} AS t FROM docs), dl AS (SELECT id, len(t) AS dl FROM toks),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+post AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM toks) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st), me AS MATERIALIZED (SELECT avg(r) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, me),
 qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tok('query')}) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT qid, post.id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
        FROM qt JOIN idf ON qt.term = idf.term JOIN post ON post.term = qt.term JOIN dl ON dl.id = post.id, st GROUP BY qid, post.id),
@@ -81,10 +82,10 @@ def dense_topk(spark, sf_dir):
     return s.dense_topk(v, v.where("id = 0").select(F.col("id").alias("qid"), "embedding"), 50).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH qv AS (SELECT unnest(generate_series(0, 19)) AS qid), {_dense_cte('d', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM d")
+@query(f"WITH qv AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0), {_dense_cte('d', 10)} SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM d")
 def dense_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return s.dense_topk(v, v.where("id < 20").select(F.col("id").alias("qid"), "embedding"), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return s.dense_topk(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH qv AS (SELECT 0 AS qid), {_dense_cte('d', 30, '[1:32]')} SELECT id, round(score, 6) AS score, rank::INT AS rank FROM d")
@@ -93,20 +94,37 @@ def summary_topk(spark, sf_dir):
     return s.dense_topk(v, v.where("id = 0").select(F.col("id").alias("qid"), "embedding"), 30, dims=32).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+_NAMED = ("Brand#11", "Brand#23")
+
+
 def _lists(spark, sf_dir) -> dict:
+    """The four lists of one query: documents stand in for chunks, orders of the same number carry the entities."""
     v = _vectors(spark, sf_dir)
     q = v.where("id = 0").select(F.col("id").alias("qid"), "embedding")
-    long = docs(spark, sf_dir)
-    sparse = s.Bm25Index.build(long).search(one_query(spark), 50)
-    return {"dense": s.dense_topk(v, q, 50), "sparse": sparse, "summary": s.dense_topk(v, q, 30, dims=32)}
-
+    rows = docs(spark, sf_dir)
+    sparse = s.long_hits(s.Bm25Index.build(rows).search(one_query(spark), 50), rows)
+    asked = spark.createDataFrame([(0, n) for n in _NAMED], "qid long, name string")
+    entity = e.retrieve(mentions(spark, sf_dir, types=False), asked).select("qid", "id", "rank")
+    return {"dense": s.dense_topk(v, q, 50), "sparse": sparse, "summary": s.dense_topk(v, q, 30, dims=32), "entity": entity}
+
+
+_ENTITY_LIST = f"""{_LINES}, mentions AS (SELECT p_brand AS name, 'BRAND' AS type, chunk_id, doc_id, year, ord FROM lines),
+xm AS (SELECT DISTINCT name, chunk_id FROM mentions WHERE name IN (SELECT name FROM mentions GROUP BY name HAVING count(*) >= 3)),
+xc AS (SELECT a.name, b.name AS partner, count(*) AS together FROM xm a JOIN xm b ON a.chunk_id = b.chunk_id AND a.name <> b.name GROUP BY 1, 2),
+xt AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY together DESC, partner) AS rank FROM xc QUALIFY rank <= 5),
+xq AS (SELECT unnest(['{_NAMED[0]}', '{_NAMED[1]}']) AS name), xn AS (SELECT DISTINCT partner AS name FROM xt JOIN xq ON xt.name = xq.name WHERE partner NOT IN (SELECT name FROM xq)),
+xw AS (SELECT name, 1 AS p FROM xq UNION ALL SELECT name, 0 FROM xn), xd AS (SELECT DISTINCT name, chunk_id FROM mentions),
+xh AS (SELECT chunk_id, sum(p) AS asked, max(p) AS pr FROM xd JOIN xw USING (name) GROUP BY chunk_id), xz AS (SELECT chunk_id, count(*) AS n FROM xd GROUP BY chunk_id),
+xs AS (SELECT chunk_id AS id, (0.6 * asked / 2 + 0.4 * ln(1 + n) / 3) * CASE WHEN pr = 1 THEN 1.5 ELSE 1 END AS score FROM xh JOIN xz USING (chunk_id)),
+en AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM xs QUALIFY rank <= 20)"""
 
 _FUSED = bm25_sql(
     _ONE,
     50,
-    f""", qv AS (SELECT 0 AS qid), {_dense_cte('d', 50)}, {_dense_cte('m', 30, '[1:32]')},
-parts AS (SELECT id, 1.0 / (60 + rank) AS p, 0 AS i, 'dense' AS n FROM d UNION ALL SELECT id, 1.0 / (60 + rank), 1, 'sparse' FROM hits
-  UNION ALL SELECT id, 0.8 / (60 + rank), 2, 'summary' FROM m),
+    f""", lh AS (SELECT id, row_number() OVER (ORDER BY rank) AS rank FROM hits JOIN docs USING (id) WHERE length(text) > 50),
+qv AS (SELECT 0 AS qid), {_dense_cte('d', 50)}, {_dense_cte('m', 30, '[1:32]')}, {_ENTITY_LIST},
+parts AS (SELECT id, 1.0 / (60 + rank) AS p, 0 AS i, 'dense' AS n FROM d UNION ALL SELECT id, 1.0 / (60 + rank), 1, 'sparse' FROM lh
+  UNION ALL SELECT id, 0.8 / (60 + rank), 2, 'summary' FROM m UNION ALL SELECT id, 1.2 / (60 + rank), 3, 'entity' FROM en),
 fused AS (SELECT id, sum(p) AS rrf, string_agg(n, ',' ORDER BY i) AS sources FROM parts GROUP BY id)
 """,
 )
@@ -134,11 +152,95 @@ def hybrid_search(spark, sf_dir):
     return out.select("id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
-@query()
+_STRIPPED = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
+_GRAMS3 = "list_distinct(list_transform(generate_series(1, greatest(length({0}) - 2, 0)), lambda i: substr({0}, i, 3)))"
+
+
+def similar_sql(rows: str) -> str:
+    """DuckDB SQL: kept(id) of rows(id, text, o), o being the order from 1: the greedy removal of texts that repeat."""
+    return f"""sg AS MATERIALIZED (SELECT id, o, {_STRIPPED.format("substr(text, length(text) // 4 + 1, 300)")} AS mid, {_STRIPPED.format("CASE WHEN length(text) > 250 THEN substr(text, 51, 200) ELSE text END")} AS beg FROM {rows}),
+sh AS MATERIALIZED (SELECT *, {_GRAMS3.format('mid')} AS gm, {_GRAMS3.format('beg')} AS gb FROM sg),
+al AS MATERIALIZED (SELECT b.o, list(a.o) FILTER (a.mid = b.mid OR len(list_intersect(a.gm, b.gm)) / greatest(len(a.gm), len(b.gm), 1)::DOUBLE > 0.6 OR len(list_intersect(a.gb, b.gb)) / greatest(len(a.gb), len(b.gb), 1)::DOUBLE > 0.7) AS earlier
+       FROM sh b LEFT JOIN sh a ON a.o < b.o GROUP BY b.o),
+gr AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS held UNION ALL SELECT al.o, CASE WHEN list_has_any(held, coalesce(earlier, []::BIGINT[])) THEN held ELSE list_append(held, al.o) END FROM gr JOIN al ON al.o = gr.o + 1),
+kept AS (SELECT id, o FROM sg WHERE list_contains((SELECT held FROM gr ORDER BY o DESC LIMIT 1), o))"""
+
+
+@query(
+    _FUSED.replace("\nWITH docs", "\nWITH RECURSIVE docs", 1)
+    + f""", cd AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(rrf, 9) DESC, id)::BIGINT AS o FROM fused JOIN docs USING (id) WHERE length(text) >= 30 QUALIFY o <= 60), {similar_sql('cd')}
+SELECT id, round(rrf, 9) AS rrf_score, row_number() OVER (ORDER BY o)::INT AS rank FROM cd JOIN kept USING (id, o) QUALIFY rank <= 20"""
+)
 def hybrid_distinct(spark, sf_dir):
     return s.hybrid(_lists(spark, sf_dir), docs(spark, sf_dir), 20, similar=True).select("id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
+# Texts of 35 to some hundred characters, a third of which repeat another but for case and space.
+_SHORT_SQL = """st AS (SELECT conv_id AS qid, turn AS id, CASE WHEN turn % 3 = 2 THEN ' ' || upper(substr(text, 1, 35 + conv_id % 300)) ELSE substr(text, 1, 35 + (conv_id + turn) % 300) END AS text FROM conversations WHERE length(text) >= 35)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SHORT_SQL}, rk AS (SELECT qid * 1000 + id AS id, qid, text, row_number() OVER (PARTITION BY qid ORDER BY id)::BIGINT AS o FROM st),
+sg AS MATERIALIZED (SELECT qid, id, o, {_STRIPPED.format("substr(text, length(text) // 4 + 1, 300)")} AS mid, {_STRIPPED.format("CASE WHEN length(text) > 250 THEN substr(text, 51, 200) ELSE text END")} AS beg FROM rk),
+sh AS MATERIALIZED (SELECT *, {_GRAMS3.format('mid')} AS gm, {_GRAMS3.format('beg')} AS gb FROM sg),
+al AS MATERIALIZED (SELECT b.qid, b.o, list(a.o) FILTER (a.mid = b.mid OR len(list_intersect(a.gm, b.gm)) / greatest(len(a.gm), len(b.gm), 1)::DOUBLE > 0.6 OR len(list_intersect(a.gb, b.gb)) / greatest(len(a.gb), len(b.gb), 1)::DOUBLE > 0.7) AS earlier
+       FROM sh b LEFT JOIN sh a ON a.qid = b.qid AND a.o < b.o GROUP BY b.qid, b.o),
+gr AS (SELECT DISTINCT qid, 0::BIGINT AS o, []::BIGINT[] AS held FROM rk UNION ALL SELECT al.qid, al.o, CASE WHEN list_has_any(held, coalesce(earlier, []::BIGINT[])) THEN held ELSE list_append(held, al.o) END FROM gr JOIN al ON al.qid = gr.qid AND al.o = gr.o + 1),
+fin AS (SELECT qid, held FROM gr QUALIFY row_number() OVER (PARTITION BY qid ORDER BY o DESC) = 1)
+SELECT sg.qid, sg.id % 1000 AS id FROM sg JOIN fin USING (qid) WHERE list_contains(held, sg.o)"""
+)
+def similar_hits(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("length(text) >= 35")
+    cut = F.when(F.col("turn") % 3 == 2, F.concat(F.lit(" "), F.upper(F.substring("text", F.lit(1), (35 + F.col("conv_id") % 300).cast("int"))))).otherwise(F.substring("text", F.lit(1), (35 + (F.col("conv_id") + F.col("turn")) % 300).cast("int")))
+    rows = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("id"), cut.alias("text"), (-F.col("turn")).cast("double").alias("rrf_score"))
+    return s.drop_similar(rows).select("qid", "id")
+
+
+@query(f"WITH qv AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0), {_dense_cte('d', 5)} SELECT qid, id, round(score, 5) AS score, rank::INT AS rank FROM d")
+def vectors_saved(spark, sf_dir):
+    from marlstone.sources.shared import new_folder
+
+    path = new_folder(spark)
+    v = _vectors(spark, sf_dir)
+    s.save_vectors(v.where("id % 3 != 0"), path)
+    s.append_vectors(v, path)
+    read = s.load_vectors(spark, path)
+    return s.dense_topk(read, read.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 5).select("qid", "id", F.round("score", 5).alias("score"), "rank")
+
+
+@query(bm25_sql("SELECT item_id AS qid, text AS query FROM benchmark", 5, "SELECT qid, id, round(score, 5) AS score, rank::INT AS rank FROM hits"))
+def bm25_saved(spark, sf_dir):
+    from marlstone.sources.shared import new_folder
+
+    first, second = new_folder(spark), new_folder(spark)
+    s.Bm25Index.build(docs(spark, sf_dir), first).save(second)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return s.Bm25Index.load(spark, second).search(asked, 5).select("qid", "id", F.round("score", 5).alias("score"), "rank")
+
+
+@query(f"WITH qv AS (SELECT 0 AS qid), {_dense_cte('m', 30, '[1:32]')} SELECT m.id, rank::INT AS rank, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) END AS summary FROM m LEFT JOIN documents ON doc_id = m.id AND doc_id % 2 = 0")
+def summary_search(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    hits = s.dense_topk(v, v.where("id = 0").select(F.col("id").alias("qid"), "embedding"), 30, dims=32)
+    texts = docs(spark, sf_dir).where("id % 2 = 0").select("id", F.substring("text", 1, 40).alias("summary"))
+    return s.with_summaries(hits, texts).select("id", "rank", "summary")
+
+
+@query("WITH d AS (SELECT vec_id AS id, sha256(vec_id::VARCHAR) AS h, list_transform(embedding, lambda x: round(x, 4)) AS e FROM embeddings) SELECT id, h AS text_hash, array_to_string(list_transform(e, lambda x: printf('%.4f', x)), ',') AS e, id % 3 = 0 AS was_cached FROM d")
+def embedding_cache(spark, sf_dir):
+    """A cache with a third of the vectors answers for these; the rest is embedded by lookup and added, then all come from the cache."""
+    from marlstone.sources.shared import new_folder
+
+    path = new_folder(spark)
+    rows = _vectors(spark, sf_dir).select("id", F.col("id").cast("string").alias("text"), "embedding")
+    corpus.cache_put(path, rows.where("id % 3 = 0").select(corpus.cache_key(F.col("text")).alias("text_hash"), "embedding"))
+    known = corpus.cache_load(spark, path).select("text_hash", F.lit(True).alias("was_cached"))
+    held = s.kept(known)
+    out = corpus.embedded(rows.select("id", "text"), path, lambda missing: missing.join(rows.select("text", "embedding"), "text"))
+    shown = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",")
+    return out.join(held, "text_hash", "left").select("id", "text_hash", shown.alias("e"), F.coalesce("was_cached", F.lit(False)).alias("was_cached"))
+
+
 @query(f"WITH {DOCS} SELECT id, doc_type, substr(text, 1, 200) AS preview, length(text) AS length, (SELECT count(*) FROM docs WHERE doc_type = 'TEXT') AS total, ceil((SELECT count(*) FROM docs WHERE doc_type = 'TEXT') / 20.0)::BIGINT AS total_pages FROM docs WHERE doc_type = 'TEXT' ORDER BY id LIMIT 20 OFFSET 40")
 def doc_page(spark, sf_dir):
     return corpus.page(docs(spark, sf_dir), 3, 20, "text")

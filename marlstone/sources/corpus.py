@@ -95,4 +95,26 @@ def with_cached(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def cache_put(path: str, rows: DataFrame) -> None:
-    rows.select("text_hash", "embedding").write.mode("append").parquet(path)
+    """Adds rows (text_hash, embedding) to the cache at path; of hashes that it has, or that come twice, one row stays."""
+    spark = rows.sparkSession
+    new = rows.select("text_hash", "embedding").dropDuplicates(["text_hash"])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        new = new.join(cache_load(spark, path).select("text_hash"), "text_hash", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def cache_load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("text_hash string, embedding array<float>").parquet(path)
+
+
+def embedded(chunks: DataFrame, path: str, embed) -> DataFrame:
+    """chunks with embeddings from the cache at path; what it lacks is embedded by embed (rows with text -> rows with
+    embedding) and added to it first, each text once."""
+    spark = chunks.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], "text_hash string, embedding array<float>").write.parquet(path)
+    missing = cache_misses(chunks, cache_load(spark, path)).select("text_hash", "text").dropDuplicates(["text_hash"])
+    cache_put(path, embed(missing).where("embedding is not null"))
+    return with_cached(chunks, cache_load(spark, path))

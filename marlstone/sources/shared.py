@@ -1,15 +1,42 @@
-"""Cutting lineage in a folder that driver and executors share."""
+"""Cutting lineage and keeping tables in a folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir, or in a temporary folder where that is unset (one machine, tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, but on one machine only."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
