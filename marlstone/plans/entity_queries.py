@@ -129,3 +129,99 @@ def entity_upsert(spark, sf_dir):
     m = mentions(spark, sf_dir, types=False)
     old, new = m.where("doc_id % 10 != 0"), m.where("doc_id % 10 = 0").dropDuplicates(["name", "chunk_id", "type"])
     return e.upsert(old, new).agg(F.count_if(F.col("doc_id") % 10 == 0).alias("added"))
+
+
+@query(f"WITH {BRANDS}, a(asked) AS (VALUES ('brand#12'), ('Brand#13'), ('no such')) SELECT asked, count(DISTINCT chunk_id) AS n, coalesce(md5(string_agg(DISTINCT chunk_id, '|' ORDER BY chunk_id)), md5('')) AS chunks FROM a LEFT JOIN mentions ON lower(name) = lower(asked) GROUP BY asked")
+def entity_chunk_matrix(spark, sf_dir):
+    names = spark.createDataFrame([("brand#12",), ("Brand#13",), ("no such",)], "asked string")
+    out = e.chunk_matrix(mentions(spark, sf_dir, types=False), names)
+    return out.select("asked", F.size("chunk_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), "|").cast("binary")).alias("chunks"))
+
+
+_SAVED = f"""WITH {BRANDS}, {_PAIRS}, pa AS (SELECT name, string_agg(partner || ':' || together, '|' ORDER BY rank) AS partners FROM top GROUP BY name)
+SELECT m.name, min(type) AS type, count(*) AS count, md5(string_agg(DISTINCT chunk_id::VARCHAR, '|' ORDER BY chunk_id::VARCHAR)) AS chunks, string_agg(DISTINCT year::VARCHAR, '|' ORDER BY year::VARCHAR) AS dates, any_value(partners) AS partners
+FROM mentions m LEFT JOIN pa ON pa.name = m.name GROUP BY m.name"""
+
+
+def _shown(index):
+    listed = lambda c: F.array_join(F.array_sort(c), "|")
+    partners = F.array_join(F.transform("co_occurring", lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string"))), "|")
+    return index.select("name", "type", "count", F.md5(listed("chunk_ids").cast("binary")).alias("chunks"), listed("dates_associated").alias("dates"), partners.alias("partners"))
+
+
+@query(_SAVED)
+def entity_index_saved(spark, sf_dir):
+    """The index with its strongest partners, saved as JSON lines and loaded."""
+    from marlstone.sources.shared import new_folder
+
+    path, m = new_folder(spark), mentions(spark, sf_dir, types=False)
+    e.save_index(e.with_partners(e.entity_index(m), m), path)
+    return _shown(e.load_index(spark, path))
+
+
+@query(_SAVED)
+def entity_index_from_object(spark, sf_dir):
+    """The same from one JSON object keyed by name."""
+    from marlstone.sources.shared import new_folder
+
+    path, m = new_folder(spark), mentions(spark, sf_dir, types=False)
+    ix = e.with_partners(e.entity_index(m), m)
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    entry = F.struct("type", "count", text("chunk_ids").alias("chunk_ids"), text("source_docs").alias("source_docs"), text("dates").alias("dates_associated"), "co_occurring")
+    whole = ix.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", entry)))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return _shown(e.read_index_json(spark, f"{path}/none", path))
+
+
+@query(_SAVED)
+def entity_index_from_records(spark, sf_dir):
+    """The same from a JSON list of chunk records."""
+    from marlstone.sources.shared import new_folder
+
+    path, m = new_folder(spark), mentions(spark, sf_dir, types=False)
+    chunks = m.groupBy("chunk_id").agg(F.first("doc_id").alias("doc"), F.first("year").cast("string").alias("year"), F.collect_list("name").alias("names"))
+    record = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc").cast("string").alias("doc_filename"), F.create_map(F.lit("BRAND"), "names").alias("entities"), F.array("year").alias("dates_in_chunk"))
+    chunks.agg(F.to_json(F.collect_list(record)).alias("value")).coalesce(1).write.text(path)
+    return _shown(e.read_index_json(spark, path))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS kind, o_totalprice AS price FROM orders")
+def json_round_trip(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("price"))
+    return e.from_json_records(o.select(e.json_records(o).alias("value")), "id long, kind string, price double")
+
+
+@query(
+    f"""WITH {MENTIONS}, {_COUNTS}, q(qid, query) AS (VALUES (1, 'small brand#12 and BRAND#13'), (2, 'economy promo'), (3, 'nothing')),
+f AS (SELECT qid, name, count, row_number() OVER (PARTITION BY qid, lower(name) ORDER BY count DESC, name) AS r FROM q JOIN ix ON contains(lower(query), lower(name)) WHERE count >= 3 AND length(name) >= 2)
+SELECT qid, name, count FROM f WHERE r = 1"""
+)
+def query_entities(spark, sf_dir):
+    """Entities of questions by the dictionary, one of each name."""
+    q = spark.createDataFrame([(1, "small brand#12 and BRAND#13"), (2, "economy promo"), (3, "nothing")], "qid int, text string")
+    names = e.counts(mentions(spark, sf_dir)).select("name", "count")
+    return e.best_by_name(e.dictionary_match(q, names, "qid").join(names, "name")).select("qid", "name", "count")
+
+
+@query(f"WITH {BRANDS}, {_NEAR.replace(NAME, 'Brand#12')} SELECT name, count(*) AS count, count(DISTINCT doc_id) AS n_docs FROM own GROUP BY name")
+def entity_profile_fuzzy(spark, sf_dir):
+    """A name that isn't known finds the one most like it."""
+    m = mentions(spark, sf_dir, types=False).where("name = 'Brand#12' or name like 'Brand#5%'")
+    return e.profile(m, e.resolved(m, "brand#12 ltd")).select("name", "count", "n_docs")
+
+
+@query(f"WITH {BRANDS}, c AS (SELECT name AS id, substr(name, 1, 7) AS community FROM (SELECT DISTINCT name FROM mentions)) SELECT c.id, min(type) AS type, count(*) AS count, count(DISTINCT doc_id) AS n_docs FROM c JOIN mentions ON name = id WHERE community = substr('{NAME}', 1, 7) GROUP BY c.id")
+def entity_cluster(spark, sf_dir):
+    from marlstone.api import Engine
+    from marlstone.operators.search import Bm25Index
+
+    m = mentions(spark, sf_dir, types=False)
+    labels = m.select(F.col("name").alias("id")).distinct().withColumn("community", F.substring("id", 1, 7))
+    return Engine(spark, docs(spark, sf_dir), mentions=m, index=Bm25Index(None, None, None)).cluster(labels, NAME.lower())
+
+
+@query(f"WITH {MENTIONS}, o AS (SELECT * FROM mentions WHERE doc_id % 10 <> 0), n AS (SELECT name, chunk_id, type, min(ord) AS ord FROM mentions WHERE doc_id % 10 = 0 GROUP BY ALL) SELECT name, count(*) AS count, sum(chunk_id)::BIGINT AS chunks FROM (SELECT name, chunk_id FROM o UNION ALL SELECT name, chunk_id FROM n WHERE (name, chunk_id, type) NOT IN (SELECT (name, chunk_id, type) FROM o)) GROUP BY name")
+def entity_upsert_rows(spark, sf_dir):
+    m = mentions(spark, sf_dir)
+    old, new = m.where("doc_id % 10 != 0"), m.where("doc_id % 10 = 0").dropDuplicates(["name", "chunk_id", "type"])
+    return e.upsert(old, new).groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.sum("chunk_id").alias("chunks"))

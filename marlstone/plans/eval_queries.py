@@ -11,12 +11,12 @@ from .registry import query, table
 from .search_queries import _dense_cte, _vectors
 
 
-def _ranked(spark, sf_dir, n=20):
-    """Dense hits of the first n vectors, relevant if the label is the same."""
+def _ranked(spark, sf_dir):
+    """Dense hits of every vector whose id is divisible by 20, relevant if the label is the same."""
     from marlstone.operators.search import dense_topk
 
     v = _vectors(spark, sf_dir)
-    q = v.where(F.col("id") < n)
+    q = v.where("id % 20 = 0")
     hits = dense_topk(v, q.select(F.col("id").alias("qid"), "embedding"), 20)
     own = q.select(F.col("id").alias("qid"), F.col("label").alias("wanted"))
     rel = hits.join(own, "qid").join(v.select("id", "label"), "id").select("qid", "rank", "score", "wanted", (F.col("label") == F.col("wanted")).cast("int").alias("rel"))
@@ -24,9 +24,9 @@ def _ranked(spark, sf_dir, n=20):
     return rel, totals
 
 
-_RANKED = f"""WITH qv AS (SELECT unnest(generate_series(0, 19)) AS qid), {_dense_cte('d', 20)},
+_RANKED = f"""WITH qv AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0), {_dense_cte('d', 20)},
 r AS (SELECT qid, rank, score, q.label AS wanted, (v.label = q.label)::INT AS rel FROM d JOIN embeddings v ON v.vec_id = d.id JOIN embeddings q ON q.vec_id = d.qid),
-tot AS (SELECT vec_id AS qid, t.n AS total FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) t USING (label) WHERE vec_id < 20),
+tot AS (SELECT vec_id AS qid, t.n AS total FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) t USING (label) WHERE vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS ideal FROM r WHERE rank <= 10),
 m AS (SELECT qid, avg(rel) AS precision, sum(rel) AS hit, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(ideal + 1)) AS idcg FROM k GROUP BY qid),
 f AS (SELECT qid, coalesce(1.0 / min(rank) FILTER (rel > 0), 0) AS mrr, sum(rel) AS n FROM r GROUP BY qid),
@@ -66,7 +66,7 @@ def eval_grouping_sets(spark, sf_dir):
 
 
 @query(
-    f"""WITH qv AS (SELECT unnest(generate_series(0, 19)) AS qid), {_dense_cte('d', 20)}, b AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS rel FROM d WINDOW w AS (PARTITION BY qid)),
+    f"""WITH qv AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0), {_dense_cte('d', 20)}, b AS (SELECT *, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS rel FROM d WINDOW w AS (PARTITION BY qid)),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS ideal FROM b WHERE rank <= 10)
 SELECT k.qid, round(sum(rel / log2(rank + 1)) / sum(rel / log2(ideal + 1)), 6) AS approx_ndcg, round(any_value(x.m), 6) AS approx_mrr, 1.0 AS approx_recall
 FROM k JOIN (SELECT qid, coalesce(1.0 / min(rank) FILTER (score > 0.5), 1.0) AS m FROM d GROUP BY qid) x ON x.qid = k.qid GROUP BY k.qid"""
@@ -126,6 +126,46 @@ def stage_breakdown(spark, sf_dir):
     return out.select("stage", F.round("avg_ms", 6).alias("avg_ms"))
 
 
+@query(_LOG + " SELECT id, latency FROM (SELECT * FROM lg WHERE failed ORDER BY ts DESC, id DESC LIMIT 50) ORDER BY ts DESC, id DESC LIMIT 10")
+def recent_failures(spark, sf_dir):
+    return ev.recent_failures(query_log(spark, sf_dir)).select("id", "latency")
+
+
+@query(
+    """SELECT event_id AS id, substr('query ' || repeat('x', (event_id % 300)::INT), 1, 200) AS query, event_type = 'error' AS failed, CASE WHEN event_type = 'error' THEN 'broken ' || event_id END AS error,
+CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 7 = 0 THEN 'no_results' WHEN value / 100 < 0.3 THEN 'low_quality' ELSE '' END AS failure_mode FROM events"""
+)
+def query_log_saved(spark, sf_dir):
+    """Successes and failures recorded, appended to a log and read back."""
+    from marlstone.sources.shared import new_folder
+
+    path = new_folder(spark)
+    e = table(spark, sf_dir, "events").withColumn("query", F.concat(F.lit("query "), F.repeat(F.lit("x"), (F.col("event_id") % 300).cast("int"))))
+    rows = e.select(F.col("event_id").alias("id"), "ts", "query", F.col("value").alias("latency"), (F.col("value") / 100).alias("quality"), F.lit(0.0).alias("rerank_ms"), F.lit(0.0).alias("generation_ms"), F.when(F.col("event_id") % 7 == 0, 0).otherwise(3).alias("n_results"), "event_type")
+    ev.append_log(ev.record(rows.where("event_type != 'error'")), path)
+    ev.append_log(ev.record_failure(rows.where("event_type = 'error'").withColumn("error", F.concat(F.lit("broken "), F.col("id").cast("string")))), path)
+    return ev.read_log(spark, path).select("id", "query", "failed", "error", "failure_mode")
+
+
+@query("SELECT conv_id AS qid, round(1.0 / 3 * ((count(*) >= 1)::INT + (count(*) >= 2)::INT), 6) AS coverage, round(0.5 * (1 + (count(DISTINCT role) > 1)::INT), 6) AS recall FROM conversations GROUP BY conv_id")
+def coverage_and_recall(spark, sf_dir):
+    """Of expected paths a>b, b>c, x>y those that a conversation's turns stand for, and of expected roles."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.upper("role")).alias("roles"))
+    path = lambda *x: F.array(*map(F.lit, x))
+    expected = F.array(path("a", "b"), path("b", "c"), path("x", "y"), path("a", "b"))
+    found = F.when(F.col("n") >= 2, F.array(path("a", "b"), path("b", "c"))).otherwise(F.array(path("a", "b")))
+    return c.select("qid", F.round(ev.path_coverage(expected, found), 6).alias("coverage"), F.round(ev.entity_recall(F.array(F.lit("User"), F.lit("assistant")), F.col("roles")), 6).alias("recall"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id AS qid, turn + 1 AS rank, turn % 3 AS rel, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3 DESC, turn) AS ideal FROM conversations WHERE turn < 10)
+SELECT qid, round(coalesce(sum(rel / log2(rank + 1)) / nullif(sum(rel / log2(ideal + 1)), 0), 0), 6) AS ndcg FROM r GROUP BY qid"""
+)
+def ndcg_graded(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), (F.col("turn") % 3).alias("rel"))
+    return ev.at_k(rows, 10).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
 @query("SELECT conv_id AS qid, count(DISTINCT w) AS n FROM (SELECT conv_id, unnest(string_split(lower(text), ' ')) AS w FROM conversations) GROUP BY conv_id")
 def unique_entities(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.split(F.lower("text"), " ").alias("matched_entities"))
