@@ -147,7 +147,7 @@ def query_log_saved(spark, sf_dir):
     return ev.read_log(spark, path).select("id", "query", "failed", "error", "failure_mode")
 
 
-@query("SELECT conv_id AS qid, round(1.0 / 3 * ((count(*) >= 1)::INT + (count(*) >= 2)::INT), 6) AS coverage, round(0.5 * (1 + (count(DISTINCT role) > 1)::INT), 6) AS recall FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS qid, round(1.0 / 3 * ((count(*) >= 1)::INT + (count(*) >= 2)::INT), 6) AS coverage, round(0.5 * (bool_or(lower(role) = 'user')::INT + bool_or(lower(role) = 'assistant')::INT), 6) AS recall FROM conversations GROUP BY conv_id")
 def coverage_and_recall(spark, sf_dir):
     """Of expected paths a>b, b>c, x>y those that a conversation's turns stand for, and of expected roles."""
     c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.upper("role")).alias("roles"))
