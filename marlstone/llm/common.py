@@ -9,9 +9,11 @@ equal results.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        sc.setCheckpointDir(root)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -109,6 +112,31 @@ def without(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return rest.select(*columns).unionByName(alone.select(*columns)).unionByName(one.select(*columns))
 
 
+#: Bounds of an Arrow batch that goes to a Python worker; Spark's own would let a batch of long texts fill its memory.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in bounded batches (the session's bounds are lowered where they are larger); what a worker has
+    allocated for a task goes back to the system when the task ends, as workers are kept."""
+    conf = df.sparkSession.conf
+    for name, most in BATCH_BOUNDS.items():
+        now = int(re.sub(r"\D", "", conf.get(name)) or 0)
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim is not None:
+                trim(0)
+
+    return df.mapInArrow(bounded, schema)
+
+
 def parts_of(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about most bytes of a string or binary column, or a row if that has more."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

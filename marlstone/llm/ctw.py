@@ -39,7 +39,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, read, stored
+from .common import LOWER, crc_mod, in_arrow, read, stored
 from .hashtable import find, hashed
 from .token_sums import hot, sum_over_tokens, vocabulary
 
@@ -107,9 +107,9 @@ def window_counts(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
         if held:
             yield _pairs(*merged())
 
-    counted = docs.select("text").mapInArrow(count, "code long, n long")
+    counted = in_arrow(docs.select("text"), count, "code long, n long")
     if asked is not None:
-        counted = counted.union(asked.select("text").mapInArrow(count, "code long, n long").withColumn("n", F.lit(0).cast("long")))
+        counted = counted.union(in_arrow(asked.select("text"), count, "code long, n long").withColumn("n", F.lit(0).cast("long")))
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -368,7 +368,7 @@ def window_sums(docs: DataFrame, train: DataFrame, asked: DataFrame) -> DataFram
                 start += len(n)
 
     schema = T.StructType([T.StructField("key_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("mark long, code long, sum__ double").fields])
-    met = docs.select("doc_id", "text").mapInArrow(walk, schema).join(table.select("code", "log_p"), "code", "left")
+    met = in_arrow(docs.select("doc_id", "text"), walk, schema).join(table.select("code", "log_p"), "code", "left")
     # Rows that agree in doc_id and text add the same, so their sum over their number is that of each.
     return met.groupBy("key_id", "mark").agg((F.sum(F.coalesce("sum__", "log_p")) / F.count("sum__") / math.log(10)).alias("score"))
 

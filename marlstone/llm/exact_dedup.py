@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_of, read, stored, without
+from .common import in_arrow, parts_of, read, stored, without
 
 K = 2
 SEGMENT_BITS = 16
@@ -86,9 +86,9 @@ def repeated_bits(docs: DataFrame, rows: int) -> tuple[Broadcast, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary())], ["segment", "bits"])
 
     n_segments = K << (bits - SEGMENT_BITS)
-    sent = docs.select("text").mapInArrow(positions, "segment int, positions binary")
+    sent = in_arrow(docs.select("text"), positions, "segment int, positions binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = sent.repartition(min(n_segments, max(parts, 8)), "segment").mapInArrow(count, "segment int, bits binary")
+    merged = in_arrow(sent.repartition(min(n_segments, max(parts, 8)), "segment"), count, "segment int, bits binary")
     table = np.zeros(n_segments * width // 8, np.uint8)
     for row in merged.toLocalIterator():  # one partition of the bounded filter at a time
         at = row.segment * width // 8
@@ -114,7 +114,7 @@ def hashed(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
             arrays = [batch.column(i) for i in range(len(columns))] + [pa.array(digests, pa.binary()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(maybe)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
-    return given.mapInArrow(test, schema)
+    return in_arrow(given, test, schema)
 
 
 def dedup_decisions(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, parts_of, read
+from .common import LOWER, crc_mod, in_arrow, parts_of, read
 
 PER_LANGUAGE = 400
 MAX_CHARS = 20_000
@@ -48,7 +48,7 @@ SLOT_BITS = 19
 CHUNK = 1 << 20
 ROWS = 512
 #: Cells of a presence matrix that is worked on at once.
-CELLS = 1 << 25
+CELLS = 1 << 22
 GOLD = np.uint32(0x9E37_79B1)
 
 
@@ -220,7 +220,7 @@ def classify(docs: DataFrame, kernel: Kernel | None, label: str = "lang_pred", s
             names, scores = given.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -42,7 +42,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, parts_of, read, split_by, stored, without
+from .common import LOWER, in_arrow, parts_of, read, split_by, stored, without
 from .components import components
 
 HASHES = 128
@@ -51,7 +51,7 @@ ROWS = 4
 SIGMAS = 5
 #: Estimated similarity to a bucket's centre from which a class is compared with it.
 NEAR = 0.4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 U = np.uint64
@@ -89,7 +89,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Each text's sorted distinct 64-bit shingle hashes."""
     raw = [(t or "").encode().translate(LOWER) for t in texts]
     flat = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    size = 1 << max(20, int(len(flat)).bit_length())
+    size = 1 << max(19, int(len(flat)).bit_length())
     up, down = _powers(size)
     blank = SPACE[flat]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, n, _lists(sig), _lists(keys)], schema.names)
 
-    return rows.mapInArrow(sign, schema)
+    return in_arrow(rows, sign, schema)
 
 
 def _estimate(a: str, b: str) -> Column:
@@ -205,7 +205,7 @@ def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)], pa.binary())], ["node", "shingles"])
 
     # Rows that agree in doc_id and text give a class's set more than once; what is made of it is made distinct later.
-    return stored(found.mapInArrow(sets, "node binary, shingles binary"))
+    return stored(in_arrow(found, sets, "node binary, shingles binary"))
 
 
 def _bits(elements: np.ndarray) -> np.ndarray:
@@ -233,7 +233,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
             more = [pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked, pa.bool_()), pa.array(gained, pa.list_(pa.int64())), pa.array(lost, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *more], ["a", "b", "na", "nb", "linked", "gained", "lost", "bits"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, na long, nb long, linked boolean, gained array<long>, lost array<long>, bits array<long>")
+    return in_arrow(both.select("a", "b", "sa", "sb"), compare, "a binary, b binary, na long, nb long, linked boolean, gained array<long>, lost array<long>, bits array<long>")
 
 
 def near_dups(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 28) -> DataFrame:

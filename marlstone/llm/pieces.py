@@ -37,7 +37,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_arrow, read
 from .hashtable import find, hashed
 
 ALPHA = 2.0
@@ -358,7 +358,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 same = [pa.array([x == y for x, y in zip(texts, decode_lists(lists, model).to_pylist())], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [lists, *same], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -373,7 +373,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(batch.column(at), model)], schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return in_arrow(encoded, run, schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import in_arrow, read, stored
 from .token_sums import LONG, hot, sum_over_tokens, vocabulary
 
 #: Characters with Unicode's White_Space property.
@@ -77,7 +77,7 @@ def count_pieces(vocab: DataFrame, path: str) -> DataFrame:
             n = [len(e) for i in range(0, len(texts), 2000) for e in t.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["token", "n", "pieces"])
 
-    return vocab.select("token", "n").mapInArrow(count, "token string, n long, pieces long")
+    return in_arrow(vocab.select("token", "n"), count, "token string, n long, pieces long")
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:

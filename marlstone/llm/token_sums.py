@@ -17,6 +17,8 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Tokens with a share of at least 2**-HOT_BITS are broadcast: 2**20 entries of at most HOT_CHARS characters bound it.
 HOT_BITS = 20
 HOT_CHARS = 32
@@ -46,7 +48,7 @@ def vocabulary(docs: DataFrame, split: Split, longest: int | None = None) -> Dat
                     yield out()
         yield out()
 
-    counted = docs.select("text").mapInArrow(count, "token string, n long")
+    counted = in_arrow(docs.select("text"), count, "token string, n long")
     if longest is not None:
         counted = counted.where(F.length("token") <= longest)
     return counted.groupBy("token").agg(F.sum("n").alias("n"))
@@ -100,7 +102,7 @@ def sum_over_tokens(docs: DataFrame, split: Split, table: DataFrame, value: str,
             whole = [pa.concat_arrays([_array(a, t, n), _array(b, t, m)]) for (a, b), t in zip(columns, arrow)]
             yield pa.RecordBatch.from_arrays(whole, [f.name for f in schema])
 
-    walked = rows.mapInArrow(walk, schema)
+    walked = in_arrow(rows, walk, schema)
     # kind__ keeps the rows of documents, keyed by their own number, apart from tokens.
     joined = walked.join(table.select(F.lit(1).alias("kind__"), "token", F.col(value).cast("double").alias("v__")), ["kind__", "token"], "left")
     return joined.groupBy("row__").agg(
