@@ -126,9 +126,11 @@ def aggregate_names(mentions_: DataFrame, most: int = 1000) -> DataFrame:
     return out
 
 
-def least_of(rows: DataFrame, keys: list[str], column: str, to: str, most: int) -> DataFrame:
-    """keys and ``to``: the sorted ``most`` least distinct values of column for each key. Values are ranked and cut before they are gathered."""
-    w = W.partitionBy(*keys).orderBy(column)
+def least_of(rows: DataFrame, keys: list[str], column: str, to: str, most: int | None) -> DataFrame:
+    """keys and ``to``: the sorted distinct values of column for each key, all of them or the ``most`` least. Values are
+    ranked and cut before they are gathered."""
     distinct = rows.select(*keys, column).where(F.col(column).isNotNull()).distinct()
-    first = distinct.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= most)
-    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(to))
+    if most is not None:
+        w = W.partitionBy(*keys).orderBy(column)
+        distinct = distinct.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= most)
+    return distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(to))

@@ -168,8 +168,7 @@ def entity_index_from_object(spark, sf_dir):
     ix = e.with_partners(e.entity_index(m), m)
     text = lambda c: F.transform(c, lambda x: x.cast("string"))
     entry = F.struct("type", "count", text("chunk_ids").alias("chunk_ids"), text("source_docs").alias("source_docs"), text("dates").alias("dates_associated"), "co_occurring")
-    whole = ix.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", entry)))).alias("value"))
-    whole.coalesce(1).write.text(path)
+    e.save_index_json(ix.select(F.to_json(F.create_map("name", entry)).alias("value"), F.col("name").alias("key")), path, "{}")
     return _shown(e.read_index_json(spark, f"{path}/none", path))
 
 
@@ -181,7 +180,7 @@ def entity_index_from_records(spark, sf_dir):
     path, m = new_folder(spark), mentions(spark, sf_dir, types=False)
     chunks = m.groupBy("chunk_id").agg(F.first("doc_id").alias("doc"), F.first("year").cast("string").alias("year"), F.collect_list("name").alias("names"))
     record = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc").cast("string").alias("doc_filename"), F.create_map(F.lit("BRAND"), "names").alias("entities"), F.array("year").alias("dates_in_chunk"))
-    chunks.agg(F.to_json(F.collect_list(record)).alias("value")).coalesce(1).write.text(path)
+    e.save_index_json(chunks.select(F.to_json(record).alias("value"), F.col("chunk_id").alias("key")), path, "[]")
     return _shown(e.read_index_json(spark, path))
 
 
