@@ -163,6 +163,8 @@ def rewrite(queries: DataFrame, provider: Writer | None = None, most: int = 3) -
 # Labels that names may have, and characters of a text that are looked at.
 NAME_LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "NORP", "FAC", "EVENT", "LAW")
 NAME_CHARS = 80_000
+#: Entries of a dictionary that is sent to all tasks; a larger one and the words are dealt by word.
+DICTIONARY = 100_000
 _RUN = r"(?U)\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 
 
@@ -179,7 +181,10 @@ def names(chunks: DataFrame, key: str = "id", text: str = "text", provider: Reco
         found = rows.select(key, F.explode(runs).alias("x"))
         if dictionary is not None:
             words = rows.select(key, F.explode(places(F.col("text__"), r"(?U)\w+")).alias("m"))
-            met = words.join(dictionary.select(F.col("name").alias("n__"), F.col("label").alias("l__")), F.lower("m.name") == F.lower("n__"))
+            known = dictionary.select(F.col("name").alias("n__"), F.col("label").alias("l__"))
+            # Left to itself, Spark may send the words to all tasks: it doesn't know how many a text gives.
+            known = F.broadcast(known) if known.limit(DICTIONARY + 1).count() <= DICTIONARY else known.hint("merge")
+            met = words.join(known, F.lower("m.name") == F.lower("n__"))
             found = found.unionByName(met.select(key, F.struct(F.col("l__").alias("label"), F.col("m.name").alias("name"), F.col("m.start").alias("start"), F.col("m.end").alias("end")).alias("x")))
     out = found.select(key, "x.label", tx.stripped(F.col("x.name")).alias("name"), "x.start", "x.end")
     return out.where(F.col("label").isin(*NAME_LABELS) & (F.length("name") >= 2) & ~F.col("name").rlike(r"^\d+$"))

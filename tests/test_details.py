@@ -126,3 +126,14 @@ def test_unit_vectors(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, embedding array<float>")
     got = {z.id: z.embedding for z in search.unit(rows).collect()}
     assert np.allclose(got[1], [0.6, 0.8]) and got[2] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_words_of_texts_are_not_sent_to_all_tasks(spark, monkeypatch, tmp_path, bound):
+    monkeypatch.setattr(providers, "DICTIONARY", bound)
+    spark.createDataFrame([(1, "A hearing, a HEARING"), (2, "none"), (3, None)], "id long, text string").write.parquet(str(tmp_path / "t"))
+    known = spark.createDataFrame([("Hearing", "EVENT"), ("none", "VERB")], "name string, label string")
+    got = providers.names(spark.read.parquet(str(tmp_path / "t")), dictionary=known)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (bound > 0)
+    assert {(r.id, r.label, r.name, r.start, r.end) for r in got.collect()} == {(1, "EVENT", "hearing", 2, 9), (1, "EVENT", "HEARING", 13, 20)}
