@@ -44,11 +44,14 @@ ALPHA = 2.0
 MARK = "▁"
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 18
-#: Distinct words whose filtering a worker keeps; longer words than LONG are never kept.
-KEEP = 150_000
+#: Edges of the words' lattices, some 20 a word, beyond which a worker drops what it keeps; words longer than LONG are
+#: never looked up again, but their edges count.
+KEEP = 800_000
 LONG = 64
 #: Words up to this length are filtered many at a time; their weights' products stay in a double's range.
 SHORT = 24
+#: Edges, with those that no piece has, that are filtered at once.
+CELLS = 1 << 18
 BASE = 0x9E37_79B9_7F4A_7C15
 U = np.uint64
 
@@ -169,8 +172,9 @@ class Lattice:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for n, same in by_length.items():
-            for i in range(0, len(same), 4_000):
-                self._add_same(same[i : i + 4_000], n)
+            most = max(1, CELLS // (n * min(n, self.longest)))
+            for i in range(0, len(same), most):
+                self._add_same(same[i : i + most], n)
 
     def _add_same(self, words: list[str], n: int) -> None:
         for i, w in enumerate(words, len(self.size)):
@@ -240,7 +244,7 @@ def sample(texts: list[str], keys: np.ndarray, model: Lattice, seed: int) -> lis
     """A segmentation of each text as piece ids; keys: a 64-bit number for each row."""
     words: list[int] = []
     counts = []
-    if len(model.size) > KEEP:
+    if len(model.cum) > KEEP:
         model.clear()
     cut = [_words(text, model) if text else [] for text in texts]
     get = model.words.get

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -55,6 +56,22 @@ def test_segmentations_are_lossless_and_reproducible(docs):
     assert pieces.round_trip(docs([])).count() == 0
 
 
+def test_a_worker_keeps_few_lattices_of_words(monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.choice([6, 8, 10])))
+    calls = [[" ".join(word() for _ in range(2_900)) for _ in range(10)] for _ in range(9)]
+    keys = np.arange(10).astype(np.uint64)
+    m = pieces.Lattice(pieces.model_path())
+    tracemalloc.start()
+    got = [np.concatenate(pieces.sample(texts, keys, m, 1)) for texts in calls]
+    kept = sum(x.size for x in got) * 4
+    peak = tracemalloc.get_traced_memory()[1] - kept
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    monkeypatch.setattr(pieces, "KEEP", 0)  # what is kept decides nothing
+    assert all((np.concatenate(pieces.sample(texts, keys, m, 1)) == x).all() for texts, x in zip(calls, got))
+
+
 def test_samples_follow_the_weights():
     m = pieces.lattice(pieces.model_path())
     ids = pieces.sample(["the"] * 20_000, np.arange(20_000).astype(np.uint64), m, 1)
